@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cirro.llm import packing, simhash
+from pyspark.sql import functions as F
+
+from cirro.llm import linededup, packing, sharding, simhash
 from cirro.llm.common import table
 
 
@@ -22,5 +24,29 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
 
 
-QUERIES = {"op1_packing": op1_packing, "op3_simhash": op3_simhash}
-ORACLE_SQL: dict[str, str] = {}
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES = {"op1_packing": op1_packing, "op3_simhash": op3_simhash, "op4_sharding": op4_sharding, "op7_line_dedup": op7_line_dedup}
+
+#: Whitespace is U+0020 and U+0009 to U+000D; the lower-casing is of A-Z alone.
+ORACLE_SQL: dict[str, str] = {
+    "op7_line_dedup": r"""
+WITH lines AS (
+  SELECT doc_id, i - 1 AS pos, ls[i] AS line,
+         translate(trim(ls[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), unnest(range(1, len(ls) + 1)) AS t(i)
+), firsts AS (
+  SELECT key, min(doc_id) AS first_doc FROM lines WHERE length(key) >= 10 GROUP BY key
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (doc_id > first_doc) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (first_doc IS NULL OR doc_id = first_doc), '')) AS kept_sha256
+FROM lines LEFT JOIN firsts USING (key) GROUP BY doc_id
+""",
+}
