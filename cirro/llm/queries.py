@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from cirro.llm import linededup, packing, sharding, simhash
-from cirro.llm.common import table
+from cirro.llm import langid, linededup, packing, sharding, simhash, toxicity
+from cirro.llm.common import learn_part, table
 
 
 def tokenizer_file(name: str) -> str:
@@ -33,7 +33,23 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op3_simhash": op3_simhash, "op4_sharding": op4_sharding, "op7_line_dedup": op7_line_dedup}
+def language_model(docs: DataFrame) -> langid.Model:
+    return langid.train(docs, langid.load_pieces(tokenizer_file("piece_bpe_32k.model")))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = langid.predict(docs.select("doc_id", "text"), language_model(docs))
+    return out.select("doc_id", F.coalesce(learn_part(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", F.coalesce(learn_part(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+QUERIES = {"op1_packing": op1_packing, "op3_simhash": op3_simhash, "op4_sharding": op4_sharding, "op5_toxicity": op5_toxicity, "op7_line_dedup": op7_line_dedup, "op10_language_id": op10_language_id}
 
 #: Whitespace is U+0020 and U+0009 to U+000D; the lower-casing is of A-Z alone.
 ORACLE_SQL: dict[str, str] = {
