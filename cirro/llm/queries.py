@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from cirro.llm import langid, linededup, packing, sharding, simhash, toxicity
+from cirro.llm import langid, linededup, packing, quality, sharding, simhash, toxicity
 from cirro.llm.common import learn_part, table
 
 
@@ -49,7 +49,13 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(learn_part(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op3_simhash": op3_simhash, "op4_sharding": op4_sharding, "op5_toxicity": op5_toxicity, "op7_line_dedup": op7_line_dedup, "op10_language_id": op10_language_id}
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality.judge(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", *quality.BASE, "base_failed", "kept", "anomaly")
+
+
+QUERIES = {"op1_packing": op1_packing, "op3_simhash": op3_simhash, "op4_sharding": op4_sharding, "op5_toxicity": op5_toxicity, "op7_line_dedup": op7_line_dedup, "op8_quality": op8_quality, "op10_language_id": op10_language_id}
 
 #: Whitespace is U+0020 and U+0009 to U+000D; the lower-casing is of A-Z alone.
 ORACLE_SQL: dict[str, str] = {
