@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from cirro.llm import langid, linededup, packing, quality, sharding, simhash, toxicity
+from cirro.llm import decontam, langid, linededup, packing, quality, sharding, simhash, toxicity
 from cirro.llm.common import learn_part, table
 
 
@@ -55,7 +55,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *quality.BASE, "base_failed", "kept", "anomaly")
 
 
-QUERIES = {"op1_packing": op1_packing, "op3_simhash": op3_simhash, "op4_sharding": op4_sharding, "op5_toxicity": op5_toxicity, "op7_line_dedup": op7_line_dedup, "op8_quality": op8_quality, "op10_language_id": op10_language_id}
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op1_packing": op1_packing, "op3_simhash": op3_simhash, "op4_sharding": op4_sharding, "op5_toxicity": op5_toxicity, "op6_decontamination": op6_decontamination, "op7_line_dedup": op7_line_dedup, "op8_quality": op8_quality, "op10_language_id": op10_language_id}
 
 #: Whitespace is U+0020 and U+0009 to U+000D; the lower-casing is of A-Z alone.
 ORACLE_SQL: dict[str, str] = {
