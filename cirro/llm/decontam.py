@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -210,18 +211,19 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.7, overlap:
 
 def remove(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.7, overlap: float = 0.6, text_col: str = "text") -> DataFrame:
     """docs without the rows that find() has a hit for; all columns stay, nothing is shuffled."""
-    spark = docs.sparkSession
     for ix in indexes(benchmark):
-        shared = spark.sparkContext.broadcast(ix)
-
-        @F.pandas_udf("boolean")
-        def clean(texts: pd.Series, shared=shared) -> pd.Series:
-            own = [t if isinstance(t, str) else None for t in texts]
-            ok = np.ones(len(own), dtype=bool)
-            for at in range(0, len(own), 200):
-                ok[[at + h[0] for h in hits(shared.value, own[at : at + 200], threshold, overlap)]] = False
-            return pd.Series(ok)
-
         kept = fresh(docs.columns, "_clean")
-        docs = docs.withColumn(kept, clean(docs[text_col].cast("string"))).where(kept).drop(kept)
+        docs = docs.withColumn(kept, _clean(docs.sparkSession.sparkContext.broadcast(ix), threshold, overlap)(docs[text_col].cast("string"))).where(kept).drop(kept)
     return docs
+
+
+def _clean(shared: Broadcast, threshold: float, overlap: float):
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        own = [t if isinstance(t, str) else None for t in texts]
+        ok = np.ones(len(own), dtype=bool)
+        for at in range(0, len(own), 200):
+            ok[[at + h[0] for h in hits(shared.value, own[at : at + 200], threshold, overlap)]] = False
+        return pd.Series(ok)
+
+    return clean

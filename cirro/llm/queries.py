@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from cirro.llm import decontam, langid, linededup, packing, quality, sharding, simhash, toxicity
-from cirro.llm.common import learn_part, table
+from cirro.llm import chat, decontam, langid, linededup, packing, quality, rollup, sharding, simhash, toxicity
+from cirro.llm.common import learn_part, shared_path, table
 
 
 def tokenizer_file(name: str) -> str:
@@ -59,7 +59,20 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op3_simhash": op3_simhash, "op4_sharding": op4_sharding, "op5_toxicity": op5_toxicity, "op6_decontamination": op6_decontamination, "op7_line_dedup": op7_line_dedup, "op8_quality": op8_quality, "op10_language_id": op10_language_id}
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chat.link(*chat.turns_as_calls(table(spark, sf_dir, "conversations")), chat.REPLY)
+    return out.withColumn("errors", F.array_join("errors", ","))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = rollup.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), "word_bpe_49k")
+    totals = rollup.Rollup(spark, shared_path(spark, "token-rollup"))
+    totals.commit("all documents", rollup.inserts(counts))
+    totals.commit("all documents", rollup.inserts(counts))  # a replay, which counts for nothing and runs nothing
+    return totals.totals()
+
+
+QUERIES = {"op1_packing": op1_packing, "op2_chat": op2_chat, "op3_simhash": op3_simhash, "op4_sharding": op4_sharding, "op5_toxicity": op5_toxicity, "op6_decontamination": op6_decontamination, "op7_line_dedup": op7_line_dedup, "op8_quality": op8_quality, "op9_token_counts": op9_token_counts, "op10_language_id": op10_language_id}
 
 #: Whitespace is U+0020 and U+0009 to U+000D; the lower-casing is of A-Z alone.
 ORACLE_SQL: dict[str, str] = {
@@ -74,5 +87,25 @@ WITH lines AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (doc_id > first_doc) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (first_doc IS NULL OR doc_id = first_doc), '')) AS kept_sha256
 FROM lines LEFT JOIN firsts USING (key) GROUP BY doc_id
+""",
+    "op2_chat": r"""
+WITH calls AS (
+  SELECT conv_id, 'c' || conv_id || '-' || turn AS call_id, min(turn) AS turn, count(*) AS n_calls,
+         min('{"chars":' || coalesce(CAST(length(text) AS varchar), 'null') || ',"prompt":' || coalesce(CAST(to_json(text) AS varchar), 'null') || '}') AS arguments,
+         bool_or(text IS NULL) AS broken
+  FROM conversations WHERE role = 'user' GROUP BY conv_id, turn
+), results AS (
+  SELECT conv_id, 'c' || conv_id || '-' || (turn - 1) AS call_id, min(turn) AS result_turn, min(text) AS content, count(*) AS n_results
+  FROM conversations WHERE role = 'assistant' GROUP BY conv_id, turn
+), linked AS (
+  SELECT conv_id, call_id, turn, result_turn, arguments, content, broken, coalesce(n_calls, 0) AS n_calls, coalesce(n_results, 0) AS n_results,
+         CASE WHEN n_calls IS NULL THEN 'no_call' WHEN n_results IS NULL THEN 'no_result' ELSE 'linked' END AS status
+  FROM calls FULL JOIN results USING (conv_id, call_id)
+)
+SELECT conv_id, call_id, turn, result_turn, status, turn AS topo, n_calls, n_results,
+       CASE WHEN broken THEN 'type:chars,type:prompt' ELSE '' END AS errors,
+       '{"arguments":' || coalesce(arguments, 'null') || ',"call_id":"' || call_id || '","conv_id":' || conv_id || ',"name":' || CASE WHEN n_calls > 0 THEN '"reply"' ELSE 'null' END
+       || ',"result":' || coalesce(CAST(to_json(content) AS varchar), 'null') || ',"status":"' || status || '","turn":' || coalesce(CAST(turn AS varchar), 'null') || '}' AS json
+FROM linked
 """,
 }
