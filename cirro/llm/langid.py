@@ -40,31 +40,71 @@ def word_counts(text: str | None) -> Counter:
     """Counts of the text's letter runs, lower-cased, each marked as a word's start and cut into units of UNIT characters."""
     out: Counter = Counter()
     for w, n in Counter(_WORDS((text or "").lower())).items():
-        w = _MARK + w
-        for at in range(0, len(w), UNIT):
-            out[w[at : at + UNIT]] += n
+        if len(w) < UNIT:
+            out[_MARK + w] = n + out.get(_MARK + w, 0)
+        else:
+            w = _MARK + w
+            for at in range(0, len(w), UNIT):
+                out[w[at : at + UNIT]] += n
     return out
 
 
-def lattice(units: list[str], index: dict[str, int], unknown: int) -> np.ndarray:
-    """(units, UNIT + 1, PIECE): number of the piece that ends at a position with a length, else unknown + 1; single characters outside the vocabulary count as `unknown`."""
-    out = np.full((len(units), UNIT + 1, PIECE), unknown + 1, dtype=np.int32)
-    get = index.get
-    for u, w in enumerate(units):
-        row = out[u]
-        for end in range(1, len(w) + 1):
-            for length in range(1, min(end, PIECE) + 1):
-                k = get(w[end - length : end])
-                if k is not None:
-                    row[end, length - 1] = k
-                elif length == 1:
-                    row[end, 0] = unknown
+class Pieces:
+    """Numbers of pieces by rolling hash, looked up for whole arrays; open addressing at a low load."""
+
+    SLOTS = 20
+
+    def __init__(self, pieces: list[str]):
+        self.size = len(pieces)
+        self.keys = np.zeros(1 << self.SLOTS, dtype=np.uint64)
+        self.numbers = np.full(1 << self.SLOTS, -1, dtype=np.int32)
+        for n, p in enumerate(pieces):
+            key = 0
+            for c in p:
+                key = (key * int(_BASE) + ord(c)) % (1 << 64)
+            slot = (key * int(_SPREAD)) % (1 << 64) >> (64 - self.SLOTS)
+            while self.numbers[slot] >= 0:
+                slot = (slot + 1) % (1 << self.SLOTS)
+            self.keys[slot], self.numbers[slot] = key, n
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """-1 where there is no such piece."""
+        slot = ((keys * _SPREAD) >> np.uint64(64 - self.SLOTS)).astype(np.int64)
+        out = self.numbers[slot]
+        bad = np.flatnonzero((out >= 0) & (self.keys[slot] != keys))
+        while len(bad):
+            slot[bad] = (slot[bad] + 1) % (1 << self.SLOTS)
+            out[bad] = self.numbers[slot[bad]]
+            bad = bad[(out[bad] >= 0) & (self.keys[slot[bad]] != keys[bad])]
+        return out
+
+
+_BASE, _SPREAD = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
+
+
+def lattice(units: list[str], pieces: Pieces) -> np.ndarray:
+    """(units, longest + 1, PIECE): number of the piece that ends at a position with a length; size + 1 for none; a single character outside the vocabulary has number size."""
+    lengths = np.array([len(u) for u in units])
+    out = np.full((len(units), int(lengths.max(initial=0)) + 1, PIECE), pieces.size + 1, dtype=np.int32)
+    code = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    of = np.repeat(np.arange(len(units)), lengths)
+    offset = np.arange(len(code)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    left = np.repeat(lengths, lengths) - offset  # characters from here to the unit's end
+    key = np.zeros(len(code), dtype=np.uint64)
+    for length in range(1, PIECE + 1):
+        at = np.flatnonzero(left >= length)
+        key[at] = key[at] * _BASE + code[at + length - 1]
+        got = pieces.find(key[at])
+        if length == 1:
+            got = np.where(got < 0, pieces.size, got)
+        hit = got >= 0
+        out[of[at[hit]], offset[at[hit]] + length, length - 1] = got[hit]
     return out
 
 
 def forward(cells: np.ndarray, lengths: np.ndarray, prob: np.ndarray) -> np.ndarray:
     """alpha (positions, units, languages); prob (pieces, languages) with a last row of zeros."""
-    alpha = np.zeros((UNIT + 1, len(cells), prob.shape[1]))
+    alpha = np.zeros((cells.shape[1], len(cells), prob.shape[1]))
     alpha[0] = 1
     for end in range(1, int(lengths.max(initial=0)) + 1):
         for length in range(1, min(end, PIECE) + 1):
@@ -73,10 +113,10 @@ def forward(cells: np.ndarray, lengths: np.ndarray, prob: np.ndarray) -> np.ndar
 
 
 def _backward(cells: np.ndarray, lengths: np.ndarray, prob: np.ndarray) -> np.ndarray:
-    beta = np.zeros((UNIT + 1, len(cells), prob.shape[1]))
+    beta = np.zeros((cells.shape[1], len(cells), prob.shape[1]))
     beta[lengths, np.arange(len(cells))] = 1
     for start in range(int(lengths.max(initial=0)) - 1, -1, -1):
-        for length in range(1, min(PIECE, UNIT - start) + 1):
+        for length in range(1, min(PIECE, cells.shape[1] - 1 - start) + 1):
             beta[start] += beta[start + length] * prob[cells[:, start + length, length - 1]]
     return beta
 
@@ -84,23 +124,29 @@ def _backward(cells: np.ndarray, lengths: np.ndarray, prob: np.ndarray) -> np.nd
 @dataclass
 class Model:
     langs: list[str]
-    index: dict[str, int]
+    pieces: Pieces
     prob: np.ndarray  # (pieces + unknown + none, languages)
 
     def log_likelihood(self, units: list[str]) -> np.ndarray:
-        cells = lattice(units, self.index, len(self.index))
-        lengths = np.array([len(u) for u in units])
-        alpha = forward(cells, lengths, self.prob)
-        return np.log(np.maximum(alpha[lengths, np.arange(len(units))], 1e-300))
+        """(units, languages); units of like length are taken together."""
+        order = sorted(range(len(units)), key=lambda i: len(units[i]))
+        out = np.zeros((len(units), len(self.langs)))
+        for at in range(0, len(order), 2048):
+            own = order[at : at + 2048]
+            part = [units[i] for i in own]
+            lengths = np.array([len(u) for u in part])
+            alpha = forward(lattice(part, self.pieces), lengths, self.prob)
+            out[own] = np.log(np.maximum(alpha[lengths, np.arange(len(part))], 1e-300))
+        return out
 
 
 def fit(counts: dict[str, Counter], pieces: list[str], rounds: int = 4, smooth: float = 0.05) -> Model:
     """Expectation maximisation from uniform pieces; smooth: what each piece gets on top in every round, as a share of a mean piece."""
     langs = sorted(counts)
-    index = {p: i for i, p in enumerate(pieces)}
+    table = Pieces(pieces)
     prob = np.zeros((len(pieces) + 2, len(langs)))
     for k, lang in enumerate(langs):
-        units = sorted(counts[lang])
+        units = sorted(counts[lang], key=lambda u: (len(u), u))
         weight = np.array([counts[lang][u] for u in units], dtype=float)
         p = np.full((len(pieces) + 2, 1), 1 / (len(pieces) + 1))
         p[-1] = 0
@@ -108,7 +154,7 @@ def fit(counts: dict[str, Counter], pieces: list[str], rounds: int = 4, smooth:
             total = np.zeros(len(pieces) + 2)
             for at in range(0, len(units), 4096):
                 part = units[at : at + 4096]
-                cells, lengths = lattice(part, index, len(pieces)), np.array([len(u) for u in part])
+                cells, lengths = lattice(part, table), np.array([len(u) for u in part])
                 alpha, beta = forward(cells, lengths, p), _backward(cells, lengths, p)
                 scale = weight[at : at + 4096] / np.maximum(alpha[lengths, np.arange(len(part)), 0], 1e-300)
                 for end in range(1, int(lengths.max()) + 1):
@@ -120,7 +166,7 @@ def fit(counts: dict[str, Counter], pieces: list[str], rounds: int = 4, smooth:
             total[:-1] += smooth * max(total.sum(), 1.0) / (len(pieces) + 1)
             p = (total / total.sum())[:, None]
         prob[:, k] = p[:, 0]
-    return Model(langs, index, prob)
+    return Model(langs, table, prob)
 
 
 def train(docs: DataFrame, pieces: list[str], max_docs: int = 1500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -162,19 +208,17 @@ class Scorer:
             more = np.zeros((max(2 * len(self.rows), len(self.cache) + len(new)), len(self.model.langs)))
             more[: len(self.rows)] = self.rows
             self.rows = more
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            start = len(self.cache)
-            self.rows[start : start + len(part)] = self.model.log_likelihood(part)
-            self.cache.update(zip(part, range(start, start + len(part)), strict=True))
+        start = len(self.cache)
+        self.rows[start : start + len(new)] = self.model.log_likelihood(new)
+        self.cache.update(zip(new, range(start, start + len(new)), strict=True))
 
     def batch(self, texts: list[str | None]) -> list[tuple[str, float]]:
         counted = [word_counts(t) for t in texts]
         cache = self.cache
         if self.model.langs:
-            new = dict.fromkeys(u for c in counted for u in c if u not in cache)
+            new = set().union(*counted).difference(cache)
             if len(cache) + len(new) > self.cache_size:
-                new = dict.fromkeys(u for c in counted for u in c)
+                new = set().union(*counted)
             if new:
                 self._learn(list(new))
         out = []
@@ -182,7 +226,7 @@ class Scorer:
             if not c or not self.model.langs:
                 out.append((UNDETERMINED, 0.0))
                 continue
-            total = np.fromiter(c.values(), dtype=float, count=len(c)) @ self.rows[[cache[u] for u in c]]
+            total = np.fromiter(c.values(), dtype=float, count=len(c)) @ self.rows[list(map(cache.__getitem__, c))]
             post = np.exp(total - total.max())
             best = int(total.argmax())
             out.append((self.model.langs[best], float(post[best] / post.sum())))
