@@ -33,52 +33,54 @@ def difference(sizes: list[int], k: int) -> list[list[int]]:
     A partial partition is kept as its non-empty bins, by falling sum; the other k - m bins are empty.
     """
     tie = count()
-    heap = [(-s, next(tie), np.array([s]), [(n,)]) for n, s in enumerate(sizes)]
+    heap: list[tuple] = [(-s, next(tie), np.array([s]), np.array([n])) for n, s in enumerate(sizes)]
     heapq.heapify(heap)
+    halves: list[tuple[int, int]] = []  # of bin number len(sizes) + i, the bins it was merged from
     while len(heap) > 1:
         (_, _, a, x), (_, _, b, y) = heapq.heappop(heap), heapq.heappop(heap)
         if len(a) < len(b):
             a, b, x, y = b, a, y, x
-        empty = k - len(a)
-        meet = max(0, len(b) - empty)  # so many of b's bins meet bins of a: b's smallest a's largest
-        sums = np.concatenate([a, b[: len(b) - meet]])
-        bins = x + y[: len(b) - meet]
-        for j in range(meet):  # b's largest of these meets a's smallest
-            at = len(a) - 1 - j
-            sums[at] += b[len(b) - meet + j]
-            bins[at] = (bins[at], y[len(b) - meet + j])
-        order = np.argsort(-sums, kind="stable")
-        sums = sums[order]
-        bins = [bins[i] for i in order]
-        low = sums[-1] if len(sums) == k else 0
-        heapq.heappush(heap, (int(low - sums[0]), next(tie), sums, bins))
-    return [_leaves(b) for b in heap[0][3]] if heap else []
-
-
-def _leaves(tree: tuple) -> list[int]:
-    out, stack = [], [tree]
+        alone = min(len(b), k - len(a))  # b's largest meet empty bins of a
+        meet = len(b) - alone  # and the rest a's smallest, larger with smaller
+        if meet:
+            start = len(sizes) + len(halves)
+            halves += zip(x[len(a) - meet :][::-1].tolist(), y[alone:].tolist(), strict=True)
+            sums = np.concatenate([a[: len(a) - meet], a[len(a) - meet :][::-1] + b[alone:], b[:alone]])
+            bins = np.concatenate([x[: len(a) - meet], np.arange(start, start + meet), y[:alone]])
+        else:
+            sums, bins = np.concatenate([a, b]), np.concatenate([x, y])
+        order = (-sums).argsort(kind="stable")
+        sums, bins = sums[order], bins[order]
+        low = int(sums[-1]) if len(sums) == k else 0
+        heapq.heappush(heap, (low - int(sums[0]), next(tie), sums, bins))
+    return [_leaves(int(b), len(sizes), halves) for b in heap[0][3]] if heap else []
+
+
+def _leaves(bin_: int, items: int, halves: list[tuple[int, int]]) -> list[int]:
+    out, stack = [], [bin_]
     while stack:
         t = stack.pop()
-        if isinstance(t, tuple):
-            stack.extend(t)
+        if t >= items:
+            stack.extend(halves[t - items])
         else:
             out.append(t)
     return sorted(out)
 
 
 def pack_block(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Windows of item numbers; k starts at the least count that can hold all and rises while a window exceeds the capacity."""
+    """Windows of item numbers; k starts at the least count that can hold all and rises while a window exceeds the capacity, by the share that the fullest exceeds it."""
     if not sizes:
         return []
     k = max(1, -(-sum(sizes) // capacity))
     while True:
         bins = difference(sizes, k)
-        if all(sum(sizes[i] for i in b) <= capacity for b in bins):
+        most = max(sum(sizes[i] for i in b) for b in bins)
+        if most <= capacity:
             return bins
-        k += max(1, k // 200)
+        k += max(1, k * (most - capacity) // capacity)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1, piece: int = 512, block: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1, piece: int = 512, block: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every document's ids, each in exactly one piece, and every piece's place in a sequence of at most `capacity` tokens.
 
     A null text counts as empty and gives the end id alone. Null ids of documents stay null.

@@ -24,18 +24,21 @@ class WordTokenizer:
 
     def __init__(self, path: str, cache_size: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.full = Tokenizer.from_file(path)
         self.find = re.compile(PRETOKEN).findall
         self.cache_size = cache_size
         self.cache: dict[str, bytes] = {}
+        # pre-tokens need neither the normaliser nor the pattern
+        self.model = Tokenizer(self.full.model)
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.full.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
     def _learn(self, new: list[str]) -> None:
-        ids = self.full.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids
+        ids = self.model.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids
         flat = np.asarray(ids, dtype="<u4")
         stops = (4 * (np.flatnonzero(self.ends[flat]) + 1)).tolist()
         if len(stops) != len(new):
@@ -46,7 +49,7 @@ class WordTokenizer:
     def batch(self, texts: list[str]) -> list[bytes]:
         """Of each text its ids as little-endian unsigned 32-bit numbers."""
         found: list[list[str] | None] = []
-        new: dict[str, None] = {}
+        new: set[str] = set()
         cache = self.cache
         if len(cache) > self.cache_size:
             cache.clear()
@@ -54,7 +57,7 @@ class WordTokenizer:
             if not _ODD.search(t) and _ALONE not in t:
                 ws = self.find(t.lower())
                 found.append(ws)
-                new.update(dict.fromkeys(w for w in ws if w not in cache))
+                new.update(set(ws).difference(cache))
             else:
                 found.append(None)
         if new:
