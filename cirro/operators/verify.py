@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cirro.operators.reshape import lead_bucket
 from cirro.schema import hours
@@ -43,7 +44,7 @@ def crps_gaussian(observation: Column, mu: Column, sigma: Column) -> Column:
     return sigma * (z * (2 * normal_cdf(z) - 1) + 2 * F.exp(-z * z / 2) / F.lit(float(np.sqrt(2 * np.pi))) - F.lit(float(1 / np.sqrt(np.pi))))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_cdf(z: pd.Series) -> pd.Series:
     from math import erf, sqrt
 
