@@ -15,8 +15,9 @@ each of its subsequences.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -105,8 +106,8 @@ def kernel(a: list[str], b: list[str]) -> np.ndarray:
     dense = np.zeros((len(known) + 1, len(b)), dtype=np.float32)
     np.add.at(dense, (np.searchsorted(known, sub), unit), weight)
     out = np.zeros((len(a), len(b)), dtype=np.float32)
-    for at in range(0, len(a), 2000):
-        unit, sub, weight = subsequences(a[at : at + 2000])
+    for at in range(0, len(a), 1000):
+        unit, sub, weight = subsequences(a[at : at + 1000])
         place = np.searchsorted(known, sub)
         hit = np.flatnonzero(known[np.minimum(place, len(known) - 1)] == sub) if len(known) else np.zeros(0, int)
         unit, place, weight = unit[hit], place[hit], weight[hit]
@@ -128,10 +129,13 @@ class Model:
     shift: float = -3.0
 
     def margins(self, us: list[str]) -> np.ndarray:
-        if not us:
-            return np.zeros(0)
-        unit, sub, weight = subsequences(us)
-        return np.bincount(unit, weights=weight * self.weights[sub], minlength=len(us)) + self.bias
+        """Of each unit; a few thousand at a time, for memory's sake."""
+        out = np.full(len(us), self.bias)
+        for at in range(0, len(us), 4000):
+            part = us[at : at + 4000]
+            unit, sub, weight = subsequences(part)
+            out[at : at + len(part)] += np.bincount(unit, weights=weight * self.weights[sub], minlength=len(part))
+        return out
 
     def probability(self, margin: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30)))
@@ -151,7 +155,7 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float) -> np.nd
     return w
 
 
-def fit(docs: list[tuple[int, list[str]]], landmarks: int = 160, rounds: int = 4, cost: float = 1.0, negatives: int = 12_000, seed: int = 0) -> Model:
+def fit(docs: list[tuple[int, Sequence[str]]], landmarks: int = 160, rounds: int = 4, cost: float = 1.0, negatives: int = 12_000, seed: int = 0) -> Model:
     """docs: label and units of training documents, in an order that has nothing to do with the label.
 
     A quarter of them only fits the sigmoid. Without both labels the model calls nothing toxic.
@@ -228,7 +232,8 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, id_col: str
             yield pd.DataFrame({"id": batch["id"], "y": batch["y"], "units": [sorted(set().union(*map(units, sentences(t)))) if isinstance(t, str) else [] for t in batch["text"]]})
 
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).join(F.broadcast(chosen), "id").mapInPandas(split, "id long, y int, units array<string>")
-    found = {r["id"]: (r["y"], list(r["units"])) for r in rows.toLocalIterator()}
+    one = sys.intern  # a unit is kept once, however many documents have it
+    found = {r["id"]: (r["y"], tuple(map(one, r["units"]))) for r in rows.toLocalIterator()}
     rank = np.random.default_rng(1).permutation(len(found))
     order = sorted(found)
     return fit([found[order[i]] for i in rank])
@@ -245,9 +250,7 @@ class Scorer:
         if len(cache) > self.cache_size:
             cache.clear()
         new = list(set().union(*found).difference(cache)) if found else []
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            cache.update(zip(part, self.model.margins(part).tolist(), strict=True))
+        cache.update(zip(new, self.model.margins(new).tolist(), strict=True))
         return self.model.probability(np.array([max(map(cache.__getitem__, u), default=self.model.bias - 1) for u in found]))
 
 
