@@ -45,4 +45,5 @@ def newest_per_key(df: DataFrame, key: tuple[str, ...], order: list[Column]) ->
 
 def lead_bucket(lead_hours: Column) -> Column:
     """d1, d2, ... by days begun; dNA for a null lead."""
-    return F.coalesce(F.concat(F.lit("d"), F.greatest(F.lit(1), F.ceil(lead_hours / 24)).cast("string")), F.lit("dNA"))
+    days = F.greatest(F.lit(1), F.ceil(lead_hours / 24))
+    return F.when(lead_hours.isNull(), "dNA").otherwise(F.concat(F.lit("d"), days.cast("string")))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cirro.operators.reshape import lead_bucket
-from cirro.schema import hours
+from cirro.schema import hours, lead_hours
 
 SCORE = ("source", "variable", "lead_bucket")
 
@@ -22,8 +22,7 @@ def verification_pairs(fc: DataFrame, obs: DataFrame) -> DataFrame:
     truth = obs.where("qc_flag = 'ok' and value is not null").groupBy("site_id", "variable", F.col("datetime_utc").alias("valid_time")).agg(F.min_by("value", F.struct("source", "value")).alias("observation"))
     plain = fc.where("member is null and stat is null and value is not null").withColumnRenamed("value", "forecast")
     j = plain.join(truth, ["site_id", "variable", "valid_time"])
-    lead = F.col("lead_time").cast("interval second").cast("double") / 3600
-    return j.withColumn("lead_bucket", lead_bucket(lead)).select("site_id", "source", "model", "issue_time", "valid_time", "lead_time", "lead_bucket", "variable", "forecast", "observation")
+    return j.withColumn("lead_bucket", lead_bucket(lead_hours())).select("site_id", "source", "model", "issue_time", "valid_time", "lead_time", "lead_bucket", "variable", "forecast", "observation")
 
 
 def mae(forecast: Column, observation: Column) -> Column:
@@ -124,8 +123,7 @@ def cumulative_by_member(members: DataFrame) -> DataFrame:
 def ensemble_cases(fc: DataFrame, obs: DataFrame) -> DataFrame:
     """site_id, source, variable, lead_bucket, valid_time, issue_time, members, truth of complete cases with two members or more."""
     truth = obs.where("qc_flag = 'ok' and value is not null").groupBy("site_id", "variable", F.col("datetime_utc").alias("valid_time")).agg(F.min_by("value", F.struct("source", "value")).alias("truth"))
-    lead = F.col("lead_time").cast("interval second").cast("double") / 3600
-    own = fc.where("member is not null and value is not null").groupBy("site_id", "source", "variable", "issue_time", "valid_time", lead_bucket(lead).alias("lead_bucket")).agg(F.transform(F.array_sort(F.collect_list(F.struct("member", "value"))), lambda x: x["value"]).alias("members"))
+    own = fc.where("member is not null and value is not null").groupBy("site_id", "source", "variable", "issue_time", "valid_time", lead_bucket(lead_hours()).alias("lead_bucket")).agg(F.transform(F.array_sort(F.collect_list(F.struct("member", "value"))), lambda x: x["value"]).alias("members"))
     size = F.max(F.size("members")).over(Window.partitionBy("site_id", "source", "variable", "lead_bucket"))
     return own.join(truth, ["site_id", "variable", "valid_time"]).withColumn("_size", size).where((F.size("members") == F.col("_size")) & (F.col("_size") >= 2)).drop("_size")
 

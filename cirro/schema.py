@@ -97,7 +97,7 @@ def new_forecast(df: DataFrame, check: bool = True) -> DataFrame:
     out = project(df, FORECAST)
     if not check:
         return out
-    off = F.abs(hours("valid_time") - hours("issue_time") - F.col("lead_time").cast("interval second").cast("double") / 3600)
+    off = F.abs(hours("valid_time") - hours("issue_time") - lead_hours())
     counts = out.agg(
         _count(~F.coalesce(F.col("variable").isin(*registry.variables()), F.lit(False))).alias("unknown_variable"),
         _count(F.col("member").isNotNull() & F.col("stat").isNotNull()).alias("member_and_stat"),
@@ -122,6 +122,10 @@ def hours(column: str | Column) -> Column:
     return F.unix_micros(c.cast("timestamp")) / F.lit(3.6e9)
 
 
+def lead_hours(column: str = "lead_time") -> Column:
+    return F.col(column).cast("interval second").cast("decimal(20,6)").cast("double") / 3600
+
+
 def same_key(a: DataFrame, b: DataFrame, key: tuple[str, ...]) -> Column:
     """Null-safe equality: null models, members and statistics are keys like any other."""
     out = a[key[0]].eqNullSafe(b[key[0]])

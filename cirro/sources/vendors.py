@@ -415,3 +415,11 @@ def _bom_forecast(name: str, config: dict) -> Adapter:
     ladder = [Rung("feed", lambda r: http.get(url), ("precis",))] if url else []
     return Ladder(name, ("temperature_2m",), ladder, "precis", precis_forecast, forecast=True, to_aux=precis_aux)
 
+
+
+def register_daily_extremes() -> None:
+    """Puts the names of daily extremes in the dictionary, so that observations with them are valid."""
+    for name in ("temperature_2m", "relative_humidity_2m"):
+        v = registry.variable(name)
+        for end in ("max", "min"):
+            registry.register_variable(registry.Variable(f"{name}_{end}", v.unit, v.min, v.max, v.statistical_class, "site_measurable", None, f"daily {end} of {name}"))
