@@ -17,15 +17,23 @@ def quantile_grid(value: Column) -> Column:
     return F.percentile(value, F.array(*map(F.lit, PROBS)))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once a row however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def piecewise(x: Column, xs: Column, ys: Column) -> Column:
-    """y at x of a line through sorted knots; ends are held, of equal knots the last counts. One search along the array, JVM-side."""
+    """y at x of a line through sorted knots; ends are held, of equal knots the last counts. JVM-side, no join with the knots."""
     n = F.size(xs)
-    at = F.size(F.filter(xs, lambda k: k <= x))  # knots at or below x
-    lo = F.greatest(at - 1, F.lit(0))
-    hi = F.least(at, n - 1)
-    x0, x1, y0, y1 = F.get(xs, lo), F.get(xs, hi), F.get(ys, lo), F.get(ys, hi)
-    inside = y0 + (x - x0) / F.nullif(x1 - x0, F.lit(0.0)) * (y1 - y0)
-    return F.when(x.isNull(), F.lit(None)).when(at == 0, F.get(ys, F.lit(0))).when(at >= n, F.get(ys, n - 1)).otherwise(F.coalesce(inside, y0))
+
+    def line(at: Column) -> Column:
+        """at: knots at or below x."""
+        lo, hi = F.greatest(at - 1, F.lit(0)), F.least(at, n - 1)
+        x0, x1, y0, y1 = F.get(xs, lo), F.get(xs, hi), F.get(ys, lo), F.get(ys, hi)
+        inside = F.coalesce(y0 + (x - x0) / F.nullif(x1 - x0, F.lit(0.0)) * (y1 - y0), y0)
+        return F.when(x.isNull(), F.lit(None)).when(at == 0, F.get(ys, F.lit(0))).when(at >= n, F.get(ys, n - 1)).otherwise(inside)
+
+    return _let(F.aggregate(xs, F.lit(0), lambda k, knot: k + (knot <= x).cast("int")), line)
 
 
 def fit_transfer(source: DataFrame, target: DataFrame, method: str = "mean_bias") -> dict:
