@@ -122,7 +122,7 @@ def forest_of(left: np.ndarray, right: np.ndarray | None, key_l: np.ndarray, key
     return forest
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, width: int = 1, count_ratio: float | None = None, target: tuple[int, int] = (24_576, 262_144), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, width: int = 1, count_ratio: float | None = None, target: tuple[int, int] = (4096, 262_144), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits a word) and component_id of every row.
 
     Fingerprints link at `radius` or fewer differing bits; with count_ratio, only if the smaller
@@ -202,4 +202,5 @@ def _links(reps: DataFrame, ws: list[str], radius: int, ratio: float | None, tar
         hung = np.flatnonzero(forest.root != np.arange(len(reps_)))
         return pd.DataFrame({"u": reps_[hung], "v": reps_[forest.root[hung]]})
 
-    return dealt.groupBy("task").applyInPandas(compare, "u long, v long")
+    # a number of partitions that the planner leaves alone: little data can be much work here
+    return dealt.repartition(len(spec), "task").groupBy("task").applyInPandas(compare, "u long, v long")
