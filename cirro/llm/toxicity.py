@@ -174,17 +174,26 @@ def fit(docs: list[tuple[int, Sequence[str]]], landmarks: int = 160, rounds: int
     keep = values > 1e-6
     root = vectors[:, keep] / np.sqrt(values[keep])  # Nystrom map: kernel to the landmarks times this
     pool = sorted(in_neg)
-    sample = [pool[i] for i in rng.permutation(len(pool))[:negatives]]
+    often = sorted(in_neg, key=lambda x: (-in_neg[x], x))[: negatives // 3]
+    sample = list(dict.fromkeys([*often, *[pool[i] for i in rng.permutation(len(pool))[: negatives - len(often)]]]))
     unit, sub, weight = subsequences(marks)
+    # what clean documents hold is clean, but for a few wrong labels; at first a unit must be shared by toxic documents,
+    # later it must already lie on the toxic side: a document that nothing speaks for teaches nothing
+    least = max(3, len(pos) // 100)
+    dirty = [[x for x in u if in_neg[x] * 500 <= len(neg)] for u in pos]
+    got: dict[str, float] = {}
     model, pick = Model(), lambda u: max(u, key=lambda x: (odds[x] * np.sqrt(in_pos[x]), x))
     for turn in range(rounds):
-        worst = Counter(pick(u) for u in pos)
+        found = [pick(u) for u in ([x for x in u if turn or in_pos[x] >= least] for u in dirty) if u]
+        worst = Counter(x for x in found if not turn or got[x] > 0)
+        if not worst:
+            return Model()
         hard = sample if turn == 0 else list(dict.fromkeys([*sample, *[pool[i] for i in np.argsort(-model.margins(pool), kind="stable")[: negatives // 4]]]))
         x = kernel([*worst, *hard], marks) @ root
         x = np.hstack([x, np.ones((len(x), 1))])
         y = np.array([1.0] * len(worst) + [-1.0] * len(hard))
-        share = np.array([worst[u] for u in worst] + [1.0] * len(hard), dtype=float)
-        share[: len(worst)] = np.sqrt(share[: len(worst)])
+        share = np.sqrt(np.array([worst[u] for u in worst] + [in_neg[u] for u in hard], dtype=float))
+        share[len(worst) :] *= len(hard) / share[len(worst) :].sum()
         share[: len(worst)] *= len(hard) / share[: len(worst)].sum() / 4
         w = _svm(x, y, share, cost)
         beta = root @ w[:-1]
@@ -195,6 +204,8 @@ def fit(docs: list[tuple[int, Sequence[str]]], landmarks: int = 160, rounds: int
         got = dict(zip(every, model.margins(every), strict=True))
         pick = lambda u: max(u, key=lambda x: (got[x], x))  # noqa: E731,B023
     rest = [d for n, d in enumerate(docs) if n % 4 == 3]
+    if min(sum(y == k for y, _ in rest) for k in (0, 1)) < 10:
+        rest = docs  # too few to go by alone
     margin = np.array([max(model.margins(u), default=model.bias) for _, u in rest])
     label = np.array([y for y, _ in rest], dtype=float)
     if label.min(initial=1) == label.max(initial=0):
