@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cirro.errors import EngineError
@@ -55,18 +55,52 @@ def apply_transfer(transfer: dict, series: DataFrame, out: str = "value") -> Dat
     return series.withColumn(out, piecewise(F.col("value"), *knots))
 
 
+def quantile_grids(df: DataFrame, key: tuple[str, ...], value: str, out: str) -> DataFrame:
+    """key, n, out: the 101 quantiles of each key, exact.
+
+    Each key's values are sorted, which spills where an aggregate would have to hold them all, and only
+    the order statistics that the grid lies between, about two hundred a key, go on.
+    """
+    own = df.where(F.col(value).isNotNull()).select(*key, F.col(value).cast("double").alias("_x"))
+    counts = own.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = own.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy("_x")).cast("long") - 1)
+    keyed = counts.select(*[F.col(k).alias(f"_c_{k}") for k in key], "_n")
+    j = ranked.join(keyed, [F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in key]) if key else ranked.crossJoin(F.broadcast(keyed))  # without a key one row
+    step = F.greatest(F.col("_n") - 1, F.lit(1))
+    # a grid point lies within one place of the row: the last k with k step < 100 (r + 1) has k step > 100 (r - 1)
+    k = F.floor((F.col("_r") * 100 + 99) / step)
+    near = j.where((k * step > F.col("_r") * 100 - 100) | (F.col("_r") == 0))
+    at = near.groupBy(*key).agg(F.max("_n").alias("n"), F.map_from_entries(F.collect_list(F.struct("_r", "_x"))).alias("_m"))
+
+    def point(i: Column) -> Column:
+        place = i * (F.col("n") - 1)
+        low = F.floor(place / 100)
+        part = (place - low * 100) / 100
+        x0 = F.element_at("_m", low)
+        return F.when(part == 0, x0).otherwise(x0 + part * (F.element_at("_m", low + 1) - x0))
+
+    return at.select(*key, "n", F.transform(F.sequence(F.lit(0).cast("long"), F.lit(100).cast("long")), point).alias(out))
+
+
 def fit_qmap(pairs: DataFrame, key: tuple[str, ...] = (), group: str | None = None) -> DataFrame:
     """Coefficients of each key: group, n, probs, source_quantiles, target_quantiles, shift_lo, shift_hi; a pooled row and one for each group.
 
     pairs: forecast, observation. Pairs with a null don't count.
     """
     both = pairs.where("forecast is not null and observation is not null")
-    agg = [F.count(F.lit(1)).cast("int").alias("n"), quantile_grid(F.col("forecast")).alias("source_quantiles"), quantile_grid(F.col("observation")).alias("target_quantiles")]
-    out = both.groupBy(*key).agg(*agg).withColumn("group", F.lit(POOLED))
+
+    def grids(df: DataFrame, by: tuple[str, ...]) -> DataFrame:
+        s, t = quantile_grids(df, by, "forecast", "source_quantiles"), quantile_grids(df, by, "observation", "target_quantiles")
+        t = t.select(*[F.col(k).alias(f"_t_{k}") for k in by], "target_quantiles")
+        j = s.join(t, [F.col(k).eqNullSafe(F.col(f"_t_{k}")) for k in by]) if by else s.crossJoin(F.broadcast(t))  # without a key one row
+        return j.drop(*[f"_t_{k}" for k in by])
+
+    out = grids(both, key).withColumn("group", F.lit(POOLED))
     if group:
-        out = out.unionByName(both.groupBy(*key, F.col(group).cast("string").alias("group")).agg(*agg))
+        named = both.withColumn("_g", F.col(group).cast("string"))
+        out = out.unionByName(grids(named, (*key, "_g")).withColumnRenamed("_g", "group"))
     end = lambda i: F.get("target_quantiles", F.lit(i)) - F.get("source_quantiles", F.lit(i))
-    return out.where("n > 0").select(*key, "group", "n", F.array(*map(F.lit, PROBS)).alias("probs"), "source_quantiles", "target_quantiles", end(100).alias("shift_hi"), end(0).alias("shift_lo"))
+    return out.select(*key, "group", F.col("n").cast("int").alias("n"), F.array(*map(F.lit, PROBS)).alias("probs"), "source_quantiles", "target_quantiles", end(100).alias("shift_hi"), end(0).alias("shift_lo"))
 
 
 def qmap_value(x: Column, c: str) -> Column:
