@@ -6,7 +6,8 @@ which bounds the distance from below, or the number of shingles. A task compares
 groups in tiles by numpy exclusive-or and bit counts, and skips tiles whose sort keys lie
 too far apart. It returns a spanning forest of the links it finds, never the pairs
 themselves, so a group of n copies costs n - 1 edges; components follow by star
-contraction.
+contraction. similar() takes such links as proposals only and holds each against the
+texts' shingle sets before it counts.
 """
 
 from __future__ import annotations
@@ -33,23 +34,35 @@ def fingerprint(text: str | None, shingle: int = 4, width: int = 1) -> tuple[lis
     repeats included, space-joined; fewer words: the whole sequence; none or null: zero.
     A bit is set if over half the shingles' hashes (XXH64, seed 42 and on) have it.
     """
+    spans = _spans(text, shingle)
+    return _majority(spans, width)[0], len(spans)
+
+
+def _spans(text: str | None, shingle: int) -> list[bytes]:
+    """The shingles in their order, repeats included."""
     w = words(lower_ascii((text or "").encode("utf-8", "surrogatepass")).decode("utf-8", "surrogatepass"))
     if not w:
-        return [0] * width, 0
+        return []
     joined = b" ".join(w)
     stops = np.cumsum(np.fromiter(map(len, w), dtype=np.int64, count=len(w)) + 1)
     starts = np.concatenate([[0], stops[:-1]])
     n = max(1, len(w) - shingle + 1)
-    spans = list(map(joined.__getitem__, map(slice, starts[:n].tolist(), (stops[min(shingle, len(w)) - 1 :] - 1).tolist())))
-    out = []
-    for seed in SEEDS[:width]:
+    return list(map(joined.__getitem__, map(slice, starts[:n].tolist(), (stops[min(shingle, len(w)) - 1 :] - 1).tolist())))
+
+
+def _majority(spans: list[bytes], width: int) -> tuple[list[int], np.ndarray]:
+    """`width` words of majority bits, and the spans' hashes of the first seed."""
+    n, out, first = len(spans), [], [np.zeros(0, dtype=np.uint64)]
+    for k, seed in enumerate(SEEDS[:width]):
         total = np.zeros(64, dtype=np.int64)
         for at in range(0, n, 1 << 15):
             part = spans[at : at + (1 << 15)]
-            h = np.frombuffer(b"".join([xxhash.xxh64_digest(s, seed) for s in part]), dtype=np.uint8).reshape(len(part), 8)
-            total += np.unpackbits(h[:, ::-1], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            raw = np.frombuffer(b"".join([xxhash.xxh64_digest(s, seed) for s in part]), dtype=np.uint8)
+            total += np.unpackbits(raw.reshape(len(part), 8)[:, ::-1], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            if k == 0:
+                first.append(raw.view(">u8").astype(np.uint64))
         out.append(int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0]))
-    return out, n
+    return out, np.concatenate(first)
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, width: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -204,3 +217,92 @@ def _links(reps: DataFrame, ws: list[str], radius: int, ratio: float | None, tar
 
     # a number of partitions that the planner leaves alone: little data can be much work here
     return dealt.repartition(len(spec), "task").groupBy("task").applyInPandas(compare, "u long, v long")
+
+
+def _sets(docs: DataFrame, shingle: int, width: int, grams: bool, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, w0 .. over distinct shingles, n_shingles (distinct), s0 and s1 (a digest of their set) and, if asked for, the sorted hashes as bytes."""
+    names = [f"w{i}" for i in range(width)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for doc, text in zip(batch["doc_id"].astype("Int64"), batch["text"], strict=True):
+                got, hashes = _majority(list(set(_spans(text if isinstance(text, str) else None, shingle))), 1 if grams else width)
+                held = np.sort(hashes).astype("<u8").tobytes()
+                digest = np.frombuffer(xxhash.xxh3_128_digest(held), dtype=np.int64).tolist()
+                rows.append((doc, *digest, held) if grams else (doc, *np.array(got, dtype=np.uint64).view(np.int64).tolist(), len(hashes), *digest))
+            yield pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64"})
+
+    schema = "doc_id long, s0 long, s1 long, grams binary" if grams else "doc_id long, " + ", ".join(f"{c} long" for c in names) + ", n_shingles long, s0 long, s1 long"
+    columns = [c.split()[0] for c in schema.split(", ")]
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInPandas(run, schema)
+
+
+def similar(docs: DataFrame, similarity: float, shingle: int = 5, width: int = 4, radius: int = 76, target: tuple[int, int] = (4096, 262_144), block: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and component_id of every row; rows link if the Jaccard similarity of their shingle sets is at least `similarity`.
+
+    Fingerprints of the distinct shingles at `radius` or fewer bits only propose pairs; each is then held against
+    the sets themselves. Equal sets link without. Ids, null and empty texts are as in near_duplicates. block: shingles
+    that a task of the second step holds of one side; larger groups of proposals are dealt to pairs of parts.
+    """
+    ws = [f"w{i}" for i in range(width)]
+    by = [*ws, "n_shingles", "s0", "s1"]
+    prints = materialize(_sets(docs, shingle, width, False, id_col, text_col), "shingle-sets")
+    reps = materialize(prints.groupBy(*by).agg(F.min("doc_id").alias("rep")), "distinct-sets")
+    proposed = _links(reps, ws, radius, similarity, target)
+    links = None if proposed is None else _verified(docs, reps, connected_components(proposed), ws, similarity, shingle, radius, block, id_col, text_col)
+    if links is None:
+        held = reps.select("s0", "s1", F.col("rep").alias("component_id"))
+    else:
+        comp = connected_components(links)
+        held = reps.join(comp, reps["rep"] == comp["node"], "left").select("s0", "s1", F.coalesce("component", "rep").alias("component_id"))
+    held = held.select(F.col("s0").alias("r_s0"), F.col("s1").alias("r_s1"), "component_id")
+    return prints.join(held, (prints["s0"] == held["r_s0"]) & (prints["s1"] == held["r_s1"])).select("doc_id", "component_id")
+
+
+def _verified(docs: DataFrame, reps: DataFrame, groups: DataFrame, ws: list[str], similarity: float, shingle: int, radius: int, block: int, id_col: str, text_col: str) -> DataFrame:
+    """Edges (u, v): spanning forests of the pairs in each group whose sets are similar enough."""
+    own = materialize(reps.join(groups, reps["rep"] == groups["node"]).select("rep", *ws, "n_shingles", "s0", "s1", "component"), "proposed")
+    sizes = own.groupBy("component").agg(F.ceil(F.sum("n_shingles") / block).alias("parts"))
+    total = own.agg(F.sum("n_shingles")).first()[0] or 0
+    tasks = max(64, -(-total // block))
+    own = own.join(sizes, "component").withColumn("part", F.when(F.col("parts") > 1, F.pmod("s0", F.col("parts"))).otherwise(0))
+    texts = docs.join(own.select(F.col("rep").alias("o")).distinct(), docs[id_col].cast("long") == F.col("o"), "left_semi")
+    sets = _sets(texts, shingle, len(ws), True, id_col, text_col).withColumnsRenamed({"s0": "r_s0", "s1": "r_s1"})
+    held = own.join(sets, (own["rep"] == sets["doc_id"]) & (own["s0"] == sets["r_s0"]) & (own["s1"] == sets["r_s1"]))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    held = held.withColumn("other", other).withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other"))
+    held = held.withColumn("task", F.when(F.col("parts") > 1, F.xxhash64("component", "lo", "hi")).otherwise(F.pmod(F.xxhash64("component"), F.lit(tasks))))
+
+    def check(rows: pd.DataFrame) -> pd.DataFrame:
+        found = [_similar_pairs(g, ws, similarity, radius) for _, g in rows.drop_duplicates(["component", "lo", "hi", "s0", "s1"]).groupby(["component", "lo", "hi"])]
+        return pd.concat([pd.DataFrame({"u": [], "v": []}, dtype="int64"), *found])
+
+    return held.select("task", "component", "lo", "hi", "part", "rep", "s0", "s1", *ws, "grams").groupBy("task").applyInPandas(check, "u long, v long")
+
+
+def _similar_pairs(rows: pd.DataFrame, ws: list[str], similarity: float, radius: int) -> pd.DataFrame:
+    """A spanning forest of the similar pairs of one group, or of two different parts of it."""
+    rows = rows.sort_values(["part", "rep"], kind="stable")
+    rep, part = rows["rep"].to_numpy(np.int64), rows["part"].to_numpy(np.int64)
+    bits = np.ascontiguousarray(rows[ws].to_numpy(np.int64)).view(np.uint64)
+    size = rows["grams"].map(len).to_numpy(np.int64) // 8
+    n, ends = len(rows), np.cumsum(size)
+    names, flat = np.unique(np.frombuffer(b"".join(rows["grams"]), dtype="<u8"), return_inverse=True)
+    sets = np.split(flat, ends[:-1])
+    mine, forest = np.zeros(len(names), dtype=np.int64), Forest(n)
+    across = rows["lo"].iloc[0] != rows["hi"].iloc[0]
+    for i in range(n):
+        j = np.arange(max(i + 1, np.searchsorted(part, part[i], side="right")) if across else i + 1, n)
+        close = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1) <= radius
+        close &= np.minimum(size[j], size[i]) >= similarity * np.maximum(size[j], size[i]) - 1e-9
+        j = j[close & (forest.root[j] != forest.root[i])]
+        if not len(j):
+            continue
+        mine[sets[i]] = 1
+        both = np.add.reduceat(mine[np.concatenate([sets[k] for k in j])], np.cumsum(size[j]) - size[j])
+        mine[sets[i]] = 0
+        hit = j[both >= similarity * (size[i] + size[j] - both) - 1e-9]
+        forest.add(np.full(len(hit), i), hit)
+    hung = np.flatnonzero(forest.root != np.arange(n))
+    return pd.DataFrame({"u": rep[hung], "v": rep[forest.root[hung]]})

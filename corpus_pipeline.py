@@ -2,7 +2,7 @@
 
 language: documents whose language can't be told go (no text, no letter, or no language clearly ahead).
 lines: lines that an earlier document has go.
-near_duplicates: of documents with nearly the same word shingles, that of the smallest id stays.
+near_duplicates: of documents linked by a Jaccard similarity of 0.8 or more of their word shingles, that of the smallest id stays.
 benchmark: documents with a passage of the benchmark go.
 packing: what is left is cut into pieces and packed into sequences of at most 2048 tokens.
 """
@@ -17,9 +17,9 @@ from cirro.llm.common import fresh, shared_path, table
 
 #: Below this posterior no language is clearly ahead; it lies just above what four equal ones have.
 LEAST_LANGUAGE_SCORE = 0.3
-#: Five words a shingle. A Jaccard similarity of 0.8 is a cosine of 0.89, at which 39 of 256 bits
-#: differ on average with a deviation of 6; 46 takes in most pairs at 0.8, while unrelated texts differ in about 120.
-SHINGLE, WIDTH, RADIUS, SIMILARITY = 5, 4, 46, 0.8
+#: Five words a shingle. A Jaccard similarity of 0.8 is a cosine of at least 0.89, at which 39 of 256 bits differ on
+#: average with a deviation of 6 (48 for sets of four and five); 76 only proposes pairs, whose sets are then compared.
+SHINGLE, WIDTH, RADIUS, SIMILARITY = 5, 4, 76, 0.8
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(docs, shingle=SHINGLE, width=WIDTH, radius=RADIUS, count_ratio=SIMILARITY)
+    found = simhash.similar(docs, SIMILARITY, shingle=SHINGLE, width=WIDTH, radius=RADIUS)
     gone = found.where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
