@@ -5,7 +5,8 @@ S being the longest item's length, so that a copy of an item lies whole in some
 BM25 score is taken as a share of what its own text scores, so one threshold suits all items. Bounds
 come first, as in block-max WAND: the sum of the terms' maxima, then the sum of their maxima in
 each block of items; only blocks whose bound reaches the threshold are scored, and all items above
-it are retrieved. A hit counts once its question and its answer are found in the passage.
+it are retrieved. A hit counts once its question and its answer are found in the passage; a side of at
+most four words may be changed or missing if the rest is there.
 The search runs over arrays of passages at a time.
 """
 
@@ -26,6 +27,8 @@ from cirro.llm.common import fresh
 
 BLOCK = 16
 GRAM = 3
+#: A side of at most SHORT triples (four words) is no evidence by itself; TOGETHER is what question and answer must then reach.
+SHORT, TOGETHER = 2, 0.8
 _DROPPED = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _LAST = re.compile(r"(?s)^(.*[.!?\n])[\s]*(\S.*)$")
 
@@ -51,7 +54,7 @@ def grams(ws: list[bytes]) -> set[bytes]:
 
 @dataclass
 class Index:
-    item_ids: list[int]
+    item_ids: list[int | None]
     sides: list[tuple[set[bytes], set[bytes]]]  # grams of question and answer
     span: int  # words of the longest item
     vocab: dict[bytes, int]
@@ -64,9 +67,9 @@ class Index:
     post_impact: np.ndarray
 
 
-def build(items: list[tuple[int, str | None]], k1: float = 1.2, b: float = 0.75, min_words: int = 5) -> Index | None:
+def build(items: list[tuple[int | None, str | None]], k1: float = 1.2, b: float = 0.75, min_words: int = 5) -> Index | None:
     """Items of fewer than min_words words are too short to tell a copy by and are left out; None if none is left."""
-    kept = [(i, t, tokens(t)) for i, t in sorted((i, t) for i, t in items if i is not None and t)]
+    kept = [(i, t, tokens(t)) for i, t in sorted(((i, t) for i, t in items if t), key=lambda x: (x[0] is None, x[0] or 0, x[1]))]
     kept = [x for x in kept if len(x[2]) >= min_words]
     if not kept:
         return None
@@ -162,13 +165,24 @@ def _has(ws: list[bytes], start: int, span: int, gram: bytes) -> bool:
     return any(own[i : i + len(part)] == part for i in range(len(own)))
 
 
+def counts(q: float, a: float, sides: tuple[set[bytes], set[bytes]], overlap: float) -> bool:
+    """Whether the overlaps make a hit: both reach `overlap`, or, where one side has so few triples that a changed word
+    takes half of them or more, the other side is there whole or TOGETHER of both sides' triples are."""
+    if q >= overlap and a >= overlap:
+        return True
+    n, m = map(len, sides)
+    if min(n, m) > SHORT or max(n, m) <= SHORT:
+        return False
+    return (q if n > m else a) == 1 or q * n + a * m >= TOGETHER * (n + m) - 1e-9
+
+
 def hits(ix: Index, texts: list[str | None], threshold: float, overlap: float) -> list[tuple[int, int, int, float, float, float]]:
     """(text, first word, item, share, question's overlap, answer's) of verified hits, the best passage for each text and item."""
     docs = [tokens(t) for t in texts]
     best: dict[tuple[int, int], tuple] = {}
     for d, start, item, share in search(ix, docs, threshold):
         q, a = verify(ix, docs[d], start, item)
-        if q >= overlap and a >= overlap and (share, -start) > best.get((d, item), (0, 0))[:2]:
+        if counts(q, a, ix.sides[item], overlap) and (share, -start) > best.get((d, item), (0, 0))[:2]:
             best[d, item] = (share, -start, q, a)
     return [(d, -s, item, share, q, a) for (d, item), (share, s, q, a) in sorted(best.items())]
 
@@ -187,7 +201,7 @@ def indexes(benchmark: DataFrame, chunk: int = 20_000, id_col: str = "item_id",
 def find(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.7, overlap: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, item_id, first_word, bm25_share, question_overlap, answer_overlap of every verified hit.
 
-    Null and empty texts have none. Items of the same id count each for itself; items without text or
+    Null and empty texts have none. Items of the same id count each for itself, those without one too; items without text or
     shorter than five words are left out. Repeated documents have hits each, null ids too. Empty tables give
     no rows. Other columns are not read.
     """
@@ -203,7 +217,7 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.7, overlap:
             for batch in batches:
                 ids, texts = batch["doc_id"].tolist(), [t if isinstance(t, str) else None for t in batch["text"]]
                 rows = [(None if pd.isna(ids[at + d]) else ids[at + d], index.item_ids[item], s, x, q, a) for at in range(0, len(texts), 200) for d, s, item, x, q, a in hits(index, texts[at : at + 200], threshold, overlap)]
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")]).astype({"doc_id": "Int64"})
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")]).astype({"doc_id": "Int64", "item_id": "Int64"})
 
         out = out.unionAll(own.mapInPandas(run, schema))
     return out
