@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cirro.llm.common import lower_ascii, materialize, words
@@ -25,6 +25,7 @@ from cirro.llm.components import connected_components
 
 TILE = 1024
 SEEDS = (42, 43, 44, 45)
+MOST_PARTITIONS = 20_000  # tasks beyond share partitions, one after the other
 
 
 def fingerprint(text: str | None, shingle: int = 4, width: int = 1) -> tuple[list[int], int]:
@@ -141,36 +142,44 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, width: i
     Fingerprints link at `radius` or fewer differing bits; with count_ratio, only if the smaller
     number of shingles is at least that share of the larger. component_id is the smallest
     doc_id reachable by links, the row's own included. Null and empty texts have fingerprint zero
-    and link like any other. A null doc_id takes part with its text but is never the
-    smallest unless all are null. Repeated rows come out as often as they came in. An empty table
+    and link like any other. A row without id links with its text, so that others may be reached through it, but
+    is never the smallest unless all are without. Repeated rows come out as often as they came in. An empty table
     gives no rows; other columns are not read. target: least and largest number of
     fingerprints in a group; groups grow with the root of the input between.
     """
     ws = [f"w{i}" for i in range(width)]
     prints = materialize(fingerprints(docs, shingle, width, id_col, text_col), "fingerprints")
     by = ws if count_ratio is None else [*ws, "n_shingles"]
-    reps = materialize(prints.groupBy(*by).agg(F.min("doc_id").alias("rep")).withColumn("fp_id", F.xxhash64(*by)), "distinct-fingerprints")
-    links = _links(reps, ws, radius, count_ratio, target)
-    if links is not None:
-        comp = connected_components(links)
-        reps = reps.join(comp, reps["rep"] == comp["node"], "left").select(*by, F.coalesce("component", "rep").alias("component_id"))
-    else:
-        reps = reps.select(*by, F.col("rep").alias("component_id"))
-    held = reps.select(*[F.col(c).alias(f"r_{c}") for c in by], "component_id")
+    reps = materialize(prints.groupBy(*by).agg(F.min("doc_id").alias("rep")).withColumn("node", F.monotonically_increasing_id()), "distinct-fingerprints")
+    reps = _with_component(reps, _links(reps, ws, radius, count_ratio, target))
+    ids = reps.groupBy("component").agg(F.min("rep").alias("component_id")).withColumnRenamed("component", "i_component")
+    held = reps.join(ids, reps["component"] == ids["i_component"]).select(*[F.col(c).alias(f"r_{c}") for c in by], "component_id")
     out = prints.join(held, [prints[c] == held[f"r_{c}"] for c in by])
     digits = F.concat(*[F.lpad(F.lower(F.hex(c)), 16, "0") for c in ws])
     return out.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def _with_component(reps: DataFrame, links: DataFrame | None) -> DataFrame:
+    """reps with the component of their node, which is their own node where nothing links."""
+    if links is None:
+        return reps.withColumn("component", F.col("node"))
+    comp = connected_components(links).withColumnsRenamed({"node": "c_node", "component": "c_component"})
+    return reps.join(comp, reps["node"] == comp["c_node"], "left").select(*reps.columns, F.coalesce("c_component", "node").alias("component"))
+
+
 def _links(reps: DataFrame, ws: list[str], radius: int, ratio: float | None, target: tuple[int, int]) -> DataFrame | None:
-    """Edges (u, v) of rep doc_ids: spanning forests of the links inside each pair of groups."""
+    """Edges (u, v) of nodes: spanning forests of the links inside each pair of groups.
+
+    Groups lie in the order of the sort key, so the groups that one must be compared with are a range of
+    them: a row of the plan holds a group and its range, and executors count the pairs out.
+    """
     bits = sum((F.bit_count(c) for c in ws[1:]), F.bit_count(ws[0]))
     if ratio is None:
         key, near = bits, lambda k: k + radius
     else:
         key, near = F.col("n_shingles"), lambda k: np.floor(np.asarray(k) / ratio + 1e-9).astype(np.int64) if np.ndim(k) else int(k / ratio + 1e-9)
     bucket = F.col("k") if ratio is None else F.when(F.col("k") <= 0, 0).otherwise(F.floor(F.log(1.02, F.col("k").cast("double"))) + 1)
-    keyed = reps.where("rep is not null").select("rep", *ws, key.cast("long").alias("k")).withColumn("bucket", bucket.cast("int"))
+    keyed = reps.select("node", *ws, key.cast("long").alias("k")).withColumn("bucket", bucket.cast("int"))
     # one row for each population count, or for each 2 % of the shingle count: bounded whatever the input
     counts = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi")).orderBy("bucket").collect()
     total = sum(r["n"] for r in counts)
@@ -187,55 +196,78 @@ def _links(reps: DataFrame, ws: list[str], radius: int, ratio: float | None, tar
         else:
             place[r["bucket"]] = (len(groups), parts)
             groups += [(r["lo"], r["hi"], r["n"] // parts)] * parts
-    pairs: list[list[int]] = [[] for _ in groups]
-    spec: list[tuple[int, int]] = []
-    for i, a in enumerate(groups):
-        for j in range(i, len(groups)):
-            if near(a[1]) >= groups[j][0]:
-                pairs[i].append(len(spec))
-                if j != i:
-                    pairs[j].append(len(spec))
-                spec.append((i, j))
-    first = F.create_map(*[F.lit(x) for b, (g, _) in place.items() for x in (b, g)])
+    lows, tops = np.array([g[0] for g in groups]), np.array([near(g[1]) for g in groups])
+    last = np.searchsorted(lows, tops, side="right") - 1  # of each group, the last one that may link to it
+    first = np.searchsorted(tops, lows, side="left")
+    plan = reps.sparkSession.createDataFrame([(g, int(first[g]), int(last[g])) for g in range(len(groups))], "p_grp int, first int, last int")
+    base = F.create_map(*[F.lit(x) for b, (g, _) in place.items() for x in (b, g)])
     parts = F.create_map(*[F.lit(x) for b, (_, p) in place.items() for x in (b, p)])
-    group = (first[F.col("bucket")] + F.pmod(F.xxhash64(*ws), parts[F.col("bucket")].cast("long"))).cast("int")
-    table = F.array(*[F.array(*[F.lit(p) for p in ps]) for ps in pairs])
-    dealt = keyed.withColumn("grp", group).withColumn("task", F.explode(table[F.col("grp")])).select("task", "grp", "rep", "k", *ws)
+    group = (base[F.col("bucket")] + F.pmod(F.xxhash64(*ws), parts[F.col("bucket")].cast("long"))).cast("int")
+    # a row for every `size` fingerprints
+    dealt = keyed.withColumn("grp", group).join(F.broadcast(plan), F.col("grp") == F.col("p_grp")).withColumn("other", F.explode(F.sequence("first", "last")))
+    dealt = dealt.select(F.least("grp", "other").alias("i"), F.greatest("grp", "other").alias("j"), "grp", "node", "k", *ws)
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        i, j = spec[int(rows["task"].iloc[0])]
-        rows = rows.sort_values(["k", "rep"], kind="stable")
+        i, j = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
+        rows = rows.sort_values(["k", "node"], kind="stable")
         sides = [rows[rows["grp"] == g] for g in dict.fromkeys((i, j))]
         if any(not len(s) for s in sides):
             return pd.DataFrame({"u": [], "v": []}).astype("int64")
         arrays = [(s[ws].to_numpy(np.int64).view(np.uint64), s["k"].to_numpy(np.int64)) for s in sides]
-        reps_ = np.concatenate([s["rep"].to_numpy(np.int64) for s in sides])
+        nodes = np.concatenate([s["node"].to_numpy(np.int64) for s in sides])
         two = len(sides) == 2
         forest = forest_of(arrays[0][0], arrays[1][0] if two else None, arrays[0][1], arrays[1][1] if two else None, radius, near)
-        hung = np.flatnonzero(forest.root != np.arange(len(reps_)))
-        return pd.DataFrame({"u": reps_[hung], "v": reps_[forest.root[hung]]})
+        hung = np.flatnonzero(forest.root != np.arange(len(nodes)))
+        return pd.DataFrame({"u": nodes[hung], "v": nodes[forest.root[hung]]})
 
     # a number of partitions that the planner leaves alone: little data can be much work here
-    return dealt.repartition(len(spec), "task").groupBy("task").applyInPandas(compare, "u long, v long")
+    tasks = int((last - np.arange(len(groups)) + 1).sum())
+    return dealt.repartition(min(tasks, MOST_PARTITIONS), "i", "j").groupBy("i", "j").applyInPandas(compare, "u long, v long")
 
 
-def _sets(docs: DataFrame, shingle: int, width: int, grams: bool, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, w0 .. over distinct shingles, n_shingles (distinct), s0 and s1 (a digest of their set) and, if asked for, the sorted hashes as bytes."""
+def _sets(docs: DataFrame, shingle: int, width: int, grams: bool) -> DataFrame:
+    """Of docs (doc_id, t0, t1, text): doc_id, t0, t1, w0 .. over distinct shingles, n_shingles (distinct), s0 and s1 (a digest of their set) or, for grams, s0, s1 and the sorted hashes as bytes."""
     names = [f"w{i}" for i in range(width)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc, text in zip(batch["doc_id"].astype("Int64"), batch["text"], strict=True):
+            for text in batch["text"]:
                 got, hashes = _majority(list(set(_spans(text if isinstance(text, str) else None, shingle))), 1 if grams else width)
                 held = np.sort(hashes).astype("<u8").tobytes()
                 digest = np.frombuffer(xxhash.xxh3_128_digest(held), dtype=np.int64).tolist()
-                rows.append((doc, *digest, held) if grams else (doc, *np.array(got, dtype=np.uint64).view(np.int64).tolist(), len(hashes), *digest))
-            yield pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64"})
+                rows.append((*digest, held) if grams else (*np.array(got, dtype=np.uint64).view(np.int64).tolist(), len(hashes), *digest))
+            out = pd.DataFrame(rows, columns=columns[3:])
+            yield out.assign(doc_id=batch["doc_id"].astype("Int64").to_numpy(), t0=batch["t0"].to_numpy(), t1=batch["t1"].to_numpy())[columns].astype({"doc_id": "Int64"})
 
-    schema = "doc_id long, s0 long, s1 long, grams binary" if grams else "doc_id long, " + ", ".join(f"{c} long" for c in names) + ", n_shingles long, s0 long, s1 long"
+    schema = "doc_id long, t0 long, t1 long, " + ("s0 long, s1 long, grams binary" if grams else ", ".join(f"{c} long" for c in names) + ", n_shingles long, s0 long, s1 long")
     columns = [c.split()[0] for c in schema.split(", ")]
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInPandas(run, schema)
+    return docs.mapInPandas(run, schema)
+
+
+def _hashes(text: Column) -> tuple[Column, Column]:
+    """128 bits that tell texts apart."""
+    return F.xxhash64(text), F.xxhash64(F.lit(7), text)
+
+
+def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = docs[text_col].cast("string")
+    t0, t1 = _hashes(text)
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), t0.alias("t0"), t1.alias("t1"), text.alias("text"))
+
+
+def _similar(docs: DataFrame, similarity: float, shingle: int, width: int, radius: int, target: tuple[int, int], block: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, t0, t1 and component (a number of its own) of every row."""
+    ws = [f"w{i}" for i in range(width)]
+    by = [*ws, "n_shingles", "s0", "s1"]
+    own = _own(docs, id_col, text_col)
+    prints = materialize(_sets(own, shingle, width, False), "shingle-sets")
+    holder = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t0", "t1")).alias("holder")  # the row whose text stands for the set
+    reps = materialize(prints.groupBy(*by).agg(holder).withColumn("node", F.monotonically_increasing_id()), "distinct-sets")
+    proposed = _links(reps, ws, radius, similarity, target)
+    links = None if proposed is None else _verified(own, reps, connected_components(proposed), ws, similarity, shingle, radius, block)
+    held = _with_component(reps, links).select(F.col("s0").alias("r_s0"), F.col("s1").alias("r_s1"), "component")
+    return prints.join(held, (prints["s0"] == held["r_s0"]) & (prints["s1"] == held["r_s1"])).select("doc_id", "t0", "t1", "component")
 
 
 def similar(docs: DataFrame, similarity: float, shingle: int = 5, width: int = 4, radius: int = 76, target: tuple[int, int] = (4096, 262_144), block: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -245,46 +277,67 @@ def similar(docs: DataFrame, similarity: float, shingle: int = 5, width: int = 4
     the sets themselves. Equal sets link without. Ids, null and empty texts are as in near_duplicates. block: shingles
     that a task of the second step holds of one side; larger groups of proposals are dealt to pairs of parts.
     """
-    ws = [f"w{i}" for i in range(width)]
-    by = [*ws, "n_shingles", "s0", "s1"]
-    prints = materialize(_sets(docs, shingle, width, False, id_col, text_col), "shingle-sets")
-    reps = materialize(prints.groupBy(*by).agg(F.min("doc_id").alias("rep")), "distinct-sets")
-    proposed = _links(reps, ws, radius, similarity, target)
-    links = None if proposed is None else _verified(docs, reps, connected_components(proposed), ws, similarity, shingle, radius, block, id_col, text_col)
-    if links is None:
-        held = reps.select("s0", "s1", F.col("rep").alias("component_id"))
-    else:
-        comp = connected_components(links)
-        held = reps.join(comp, reps["rep"] == comp["node"], "left").select("s0", "s1", F.coalesce("component", "rep").alias("component_id"))
-    held = held.select(F.col("s0").alias("r_s0"), F.col("s1").alias("r_s1"), "component_id")
-    return prints.join(held, (prints["s0"] == held["r_s0"]) & (prints["s1"] == held["r_s1"])).select("doc_id", "component_id")
+    rows = materialize(_similar(docs, similarity, shingle, width, radius, target, block, id_col, text_col), "components")
+    ids = rows.groupBy("component").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("component", "i_component")
+    return rows.join(ids, rows["component"] == ids["i_component"]).select("doc_id", "component_id")
 
 
-def _verified(docs: DataFrame, reps: DataFrame, groups: DataFrame, ws: list[str], similarity: float, shingle: int, radius: int, block: int, id_col: str, text_col: str) -> DataFrame:
-    """Edges (u, v): spanning forests of the pairs in each group whose sets are similar enough."""
-    own = materialize(reps.join(groups, reps["rep"] == groups["node"]).select("rep", *ws, "n_shingles", "s0", "s1", "component"), "proposed")
-    sizes = own.groupBy("component").agg(F.ceil(F.sum("n_shingles") / block).alias("parts"))
-    total = own.agg(F.sum("n_shingles")).first()[0] or 0
+def keep_one(docs: DataFrame, similarity: float, shingle: int = 5, width: int = 4, radius: int = 76, target: tuple[int, int] = (4096, 262_144), block: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group that similar() links; all columns stay.
+
+    The row of the smallest id stays, rows without id only in groups that have none with one; of one id's different texts
+    the one of the smaller hash, and of rows alike in id and text the one whose other columns come first as JSON. Rows are
+    told apart by id and text, so an id that is given twice doesn't take its other texts along. Null and empty texts are alike. An
+    empty table gives no rows.
+    """
+    rows = _similar(docs, similarity, shingle, width, radius, target, block, id_col, text_col)
+    texts = materialize(rows.groupBy("doc_id", "t0", "t1").agg(F.min("component").alias("component"), F.count(F.lit(1)).alias("n")), "components")
+    best = texts.groupBy(F.col("component").alias("b_component")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t0", "t1")).alias("b"))
+    j = texts.join(best, texts["component"] == best["b_component"])
+    stays = F.col("doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("t0") == F.col("b.t0")) & (F.col("t1") == F.col("b.t1"))
+    told = j.withColumn("stays", stays).where(~F.col("stays") | (F.col("n") > 1))
+    told = materialize(told.select(F.col("doc_id").alias("g_id"), F.col("t0").alias("g_t0"), F.col("t1").alias("g_t1"), "stays"), "other-rows")
+    t0, t1 = _hashes(docs[text_col].cast("string"))
+    same = lambda df: docs[id_col].cast("long").eqNullSafe(df["g_id"]) & (t0 == df["g_t0"]) & (t1 == df["g_t1"])
+    out = docs.join(told, same(told), "left_anti")
+    again = told.where("stays")  # rows that are there more than once
+    if again.isEmpty():
+        return out
+    rest = docs.join(again, same(again), "left_semi")
+    t0, t1 = _hashes(rest[text_col].cast("string"))
+    row = F.min_by(F.struct(*[rest[c] for c in rest.columns]), F.to_json(F.struct(*[rest[c] for c in rest.columns if c != text_col]))).alias("row")
+    one = rest.groupBy(rest[id_col].cast("long"), t0, t1).agg(row)
+    return out.unionAll(one.select(*[F.col("row")[c].alias(c) for c in docs.columns]))
+
+
+def _verified(own: DataFrame, reps: DataFrame, groups: DataFrame, ws: list[str], similarity: float, shingle: int, radius: int, block: int) -> DataFrame:
+    """Edges (u, v) of nodes: spanning forests of the pairs in each group whose sets are similar enough."""
+    groups = groups.withColumnRenamed("node", "g_node")
+    found = reps.join(groups, reps["node"] == groups["g_node"]).select("node", *ws, "n_shingles", "s0", "s1", "component", F.col("holder.doc_id").alias("h_id"), F.col("holder.t0").alias("h_t0"), F.col("holder.t1").alias("h_t1"))
+    found = materialize(found, "proposed")
+    sizes = found.groupBy("component").agg(F.ceil(F.sum("n_shingles") / block).alias("parts"))
+    total = found.agg(F.sum("n_shingles")).first()[0] or 0
     tasks = max(64, -(-total // block))
-    own = own.join(sizes, "component").withColumn("part", F.when(F.col("parts") > 1, F.pmod("s0", F.col("parts"))).otherwise(0))
-    texts = docs.join(own.select(F.col("rep").alias("o")).distinct(), docs[id_col].cast("long") == F.col("o"), "left_semi")
-    sets = _sets(texts, shingle, len(ws), True, id_col, text_col).withColumnsRenamed({"s0": "r_s0", "s1": "r_s1"})
-    held = own.join(sets, (own["rep"] == sets["doc_id"]) & (own["s0"] == sets["r_s0"]) & (own["s1"] == sets["r_s1"]))
+    held = found.join(sizes, "component").withColumn("part", F.when(F.col("parts") > 1, F.pmod("s0", F.col("parts"))).otherwise(0))
+    is_holder = own["doc_id"].eqNullSafe(found["h_id"]) & (own["t0"] == found["h_t0"]) & (own["t1"] == found["h_t1"])
+    texts = own.join(found, is_holder, "left_semi").groupBy("doc_id", "t0", "t1").agg(F.first("text").alias("text"))  # rows alike count once
+    sets = _sets(texts, shingle, len(ws), True).withColumnsRenamed({"s0": "r_s0", "s1": "r_s1"}).drop("doc_id", "t0", "t1")
+    held = held.join(sets, (held["s0"] == sets["r_s0"]) & (held["s1"] == sets["r_s1"]))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
     held = held.withColumn("other", other).withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other"))
     held = held.withColumn("task", F.when(F.col("parts") > 1, F.xxhash64("component", "lo", "hi")).otherwise(F.pmod(F.xxhash64("component"), F.lit(tasks))))
 
     def check(rows: pd.DataFrame) -> pd.DataFrame:
-        found = [_similar_pairs(g, ws, similarity, radius) for _, g in rows.drop_duplicates(["component", "lo", "hi", "s0", "s1"]).groupby(["component", "lo", "hi"])]
+        found = [_similar_pairs(g, ws, similarity, radius) for _, g in rows.groupby(["component", "lo", "hi"])]
         return pd.concat([pd.DataFrame({"u": [], "v": []}, dtype="int64"), *found])
 
-    return held.select("task", "component", "lo", "hi", "part", "rep", "s0", "s1", *ws, "grams").groupBy("task").applyInPandas(check, "u long, v long")
+    return held.select("task", "component", "lo", "hi", "part", "node", *ws, "grams").groupBy("task").applyInPandas(check, "u long, v long")
 
 
 def _similar_pairs(rows: pd.DataFrame, ws: list[str], similarity: float, radius: int) -> pd.DataFrame:
     """A spanning forest of the similar pairs of one group, or of two different parts of it."""
-    rows = rows.sort_values(["part", "rep"], kind="stable")
-    rep, part = rows["rep"].to_numpy(np.int64), rows["part"].to_numpy(np.int64)
+    rows = rows.sort_values(["part", "node"], kind="stable")
+    node, part = rows["node"].to_numpy(np.int64), rows["part"].to_numpy(np.int64)
     bits = np.ascontiguousarray(rows[ws].to_numpy(np.int64)).view(np.uint64)
     size = rows["grams"].map(len).to_numpy(np.int64) // 8
     n, ends = len(rows), np.cumsum(size)
@@ -305,4 +358,4 @@ def _similar_pairs(rows: pd.DataFrame, ws: list[str], similarity: float, radius:
         hit = j[both >= similarity * (size[i] + size[j] - both) - 1e-9]
         forest.add(np.full(len(hit), i), hit)
     hung = np.flatnonzero(forest.root != np.arange(n))
-    return pd.DataFrame({"u": rep[hung], "v": rep[forest.root[hung]]})
+    return pd.DataFrame({"u": node[hung], "v": node[forest.root[hung]]})

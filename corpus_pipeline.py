@@ -2,7 +2,7 @@
 
 language: documents whose language can't be told go (no text, no letter, or no language clearly ahead).
 lines: lines that an earlier document has go.
-near_duplicates: of documents linked by a Jaccard similarity of 0.8 or more of their word shingles, that of the smallest id stays.
+near_duplicates: of documents linked by a Jaccard similarity of 0.8 or more of their word shingles, one row stays, that of the smallest id.
 benchmark: documents with a passage of the benchmark go.
 packing: what is left is cut into pieces and packed into sequences of at most 2048 tokens.
 """
@@ -23,12 +23,14 @@ SHINGLE, WIDTH, RADIUS, SIMILARITY = 5, 4, 76, 0.8
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of a language that can be told. Null and empty texts and those without a letter go; an empty table gives none; columns named like the helpers' stay."""
     pred, score = fresh(docs.columns, "lang_pred"), fresh(docs.columns, "lang_score")
     out = langid.predict(docs, queries.language_model(docs), names=(pred, score))
     return out.where((F.col(pred) != langid.UNDETERMINED) & (F.col(score) >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row, its text without repeated lines and its n_chars counted anew. A null text becomes an empty one, rows without id stay whole, repeated rows lose the same lines."""
     out = linededup.dedup_lines(docs)
     kept = out.columns[-1]
     now = {"text": F.col(kept), "n_chars": F.char_length(kept).cast("long")}
@@ -36,16 +38,17 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = simhash.similar(docs, SIMILARITY, shingle=SHINGLE, width=WIDTH, radius=RADIUS)
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of documents that are alike stays; an id that is given twice doesn't take its other texts along."""
+    return simhash.keep_one(docs, SIMILARITY, shingle=SHINGLE, width=WIDTH, radius=RADIUS)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows without a passage of the benchmark; null and empty texts stay, repeated rows fare alike."""
     return decontam.remove(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all rows in their sequences; a null text is packed as an empty one, repeated rows have pieces each."""
     return packing.pack(docs, queries.tokenizer_file("word_bpe_49k.json"))
 
 
