@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from cirro.llm import decontam, langid, linededup, packing, queries, simhash
 from cirro.llm.common import fresh, shared_path, table
 
-#: Below this posterior no language is clearly ahead; it lies just above what four equal ones have.
-LEAST_LANGUAGE_SCORE = 0.3
+#: Below this multiple of what equal languages have (and below 0.6 at least) no language is clearly ahead.
+AHEAD, ENOUGH = 1.2, 0.6
 #: Five words a shingle. A Jaccard similarity of 0.8 is a cosine of at least 0.89, at which 39 of 256 bits differ on
 #: average with a deviation of 6 (48 for sets of four and five); 76 only proposes pairs, whose sets are then compared.
 SHINGLE, WIDTH, RADIUS, SIMILARITY = 5, 4, 76, 0.8
@@ -25,8 +25,9 @@ SHINGLE, WIDTH, RADIUS, SIMILARITY = 5, 4, 76, 0.8
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a language that can be told. Null and empty texts and those without a letter go; an empty table gives none; columns named like the helpers' stay."""
     pred, score = fresh(docs.columns, "lang_pred"), fresh(docs.columns, "lang_score")
-    out = langid.predict(docs, queries.language_model(docs), names=(pred, score))
-    return out.where((F.col(pred) != langid.UNDETERMINED) & (F.col(score) >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    model = queries.language_model(docs)
+    out = langid.predict(docs, model, names=(pred, score))
+    return out.where((F.col(pred) != langid.UNDETERMINED) & (F.col(score) >= min(ENOUGH, AHEAD / max(1, len(model.langs))))).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

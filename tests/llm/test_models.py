@@ -19,7 +19,7 @@ def brute(word, prob, index):
     if not word:
         return 1.0
     total = 0.0
-    for n in range(1, min(len(word), langid.PIECE) + 1):
+    for n in range(1, len(word) + 1):
         k = index.get(word[:n], len(index) if n == 1 else None)
         if k is not None:
             total += prob[k] * brute(word[n:], prob, index)
@@ -44,10 +44,46 @@ def test_fit_raises_likelihood():
     assert last.log_likelihood(["▁und"]).argmax() == 1
 
 
-def test_words_are_letter_runs_and_long_ones_are_cut():
+def test_words_are_whole_letter_runs():
     assert langid.word_counts("Ab, ab 12 c_d") == {"▁ab": 2, "▁c": 1, "▁d": 1}
-    assert sum(len(u) for u in langid.word_counts("x" * 100)) and max(map(len, langid.word_counts("x" * 100))) <= langid.UNIT
-    assert sum(len(u) * n for u, n in langid.word_counts("x" * 100).items()) == 101
+    assert langid.word_counts("x" * 100) == {"▁" + "x" * 100: 1}
+    assert max(map(len, langid.load_pieces(queries.tokenizer_file("piece_bpe_32k.model")))) == 16
+
+
+def test_long_words_neither_vanish_nor_are_cut(monkeypatch):
+    """Against logarithms of the same sums, by exact fractions; whole, scaled on the way, and by stretches."""
+    from fractions import Fraction
+
+    prob = np.array([[Fraction(1, 1 << (k + 3)) for _ in (0, 1)] for k in range(len(PIECES) + 1)] + [[Fraction(0)] * 2])
+    prob[:, 1] = prob[::-1, 1]
+    prob[-1, 1], prob[0, 1] = 0, Fraction(1, 9)
+    index = {p: i for i, p in enumerate(PIECES)}
+    word = "▁" + "thestundz" * 300
+    want = []
+    for k in (0, 1):
+        alpha = [Fraction(1)]
+        for end in range(1, len(word) + 1):
+            alpha.append(sum(alpha[end - n] * prob[index.get(word[end - n : end], len(index) if n == 1 else -1), k] for n in range(1, min(end, 4) + 1)))
+        want.append((np.log(float(alpha[-1].numerator >> max(0, alpha[-1].numerator.bit_length() - 60))) + max(0, alpha[-1].numerator.bit_length() - 60) * np.log(2)) - (np.log(float(alpha[-1].denominator >> max(0, alpha[-1].denominator.bit_length() - 60))) + max(0, alpha[-1].denominator.bit_length() - 60) * np.log(2)))
+    model = langid.Model(["a"], langid.Pieces(PIECES), prob.astype(float))
+    assert model.log_likelihood([word])[0] == pytest.approx(want)
+    monkeypatch.setattr(langid, "BATCH", 400)
+    assert model.log_likelihood([word, "▁the"])[0] == pytest.approx(want)
+
+
+def test_fit_weighs_segmentations_of_long_words_as_of_short_ones():
+    """Expected counts of a word repeated within itself: the same pieces come out, however long the word."""
+    short, long = (langid.fit({"a": Counter({"the" * n: 1200 // n})}, ["the", "th", "e", "t", "h"], rounds=5).prob[:, 0] for n in (4, 400))
+    assert long == pytest.approx(short, abs=1e-3)
+
+
+def test_rare_languages_are_learnt_and_unknown_ones_are_none(spark):
+    rows = [(i, "the cat and the dog went out", "en") for i in range(3000)] + [(5000 + i, "der hund und die katze", "de") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, langid.load_pieces(queries.tokenizer_file("piece_bpe_32k.model")), docs_per_lang=50)
+    assert model.langs == ["de", "en"]
+    got = langid.Scorer(model).batch(["der hund", "the dog", "ΑΒΓ αβγ δεζ " * 5, "x" * 5000])
+    assert [g[0] for g in got[:2]] == ["de", "en"] and got[0][1] > 0.9 and got[1][1] > 0.9 and got[2][1] < 0.1
 
 
 def test_language_held_out_accuracy(spark):
