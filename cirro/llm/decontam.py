@@ -1,12 +1,13 @@
 """Benchmark decontamination (operator 6): a BM25 index of test items, searched by block-max WAND.
 
 Every passage of every document is a query. A passage is a window of 2 S words, one every S words,
-S being the longest item's length, so that a copy of an item lies whole in some passage. An item's
+S being the length of the longest item of like size (items are taken by sizes, so that a long one doesn't widen the
+passages of short ones), so that a copy of an item lies whole in some passage. An item's
 BM25 score is taken as a share of what its own text scores, so one threshold suits all items. Bounds
 come first, as in block-max WAND: the sum of the terms' maxima, then the sum of their maxima in
 each block of items; only blocks whose bound reaches the threshold are scored, and all items above
 it are retrieved. A hit counts once its question and its answer are found in the passage; a side of at
-most four words may be changed or missing if the rest is there.
+most four words may be changed or missing if the rest is there. Items of fewer than FEW words must be there word by word.
 The search runs over arrays of passages at a time.
 """
 
@@ -23,12 +24,14 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cirro.llm.common import fresh
+from cirro.llm.common import fresh, materialize
 
 BLOCK = 16
 GRAM = 3
 #: A side of at most SHORT triples (four words) is no evidence by itself; TOGETHER is what question and answer must then reach.
 SHORT, TOGETHER = 2, 0.8
+FEW = 5
+SIZES = (64, 4)  # items of at most so many words are taken together, then of so many times that
 _DROPPED = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _LAST = re.compile(r"(?s)^(.*[.!?\n])[\s]*(\S.*)$")
 
@@ -56,6 +59,7 @@ def grams(ws: list[bytes]) -> set[bytes]:
 class Index:
     item_ids: list[int | None]
     sides: list[tuple[set[bytes], set[bytes]]]  # grams of question and answer
+    exact: dict[int, list[bytes]]  # of items of few words, all of them
     span: int  # words of the longest item
     vocab: dict[bytes, int]
     peak: np.ndarray  # of each term, its largest impact
@@ -67,19 +71,44 @@ class Index:
     post_impact: np.ndarray
 
 
-def build(items: list[tuple[int | None, str | None]], k1: float = 1.2, b: float = 0.75, min_words: int = 5) -> Index | None:
-    """Items of fewer than min_words words are too short to tell a copy by and are left out; None if none is left."""
+@dataclass
+class Statistics:
+    """Of all items, whichever of them an index holds."""
+
+    n: int
+    mean: float  # words an item
+    df: dict[bytes, int]
+    spans: dict[int, int]  # of each size, the words of the longest item
+
+
+def _size(n: int) -> int:
+    size = SIZES[0]
+    while size < n:
+        size *= SIZES[1]
+    return size
+
+
+def build(items: list[tuple[int | None, str | None]], stats: Statistics | None = None, k1: float = 1.2, b: float = 0.75) -> list[Index]:
+    """An index for each size of items; items without a word are left out. stats: of a benchmark of which items are a part."""
     kept = [(i, t, tokens(t)) for i, t in sorted(((i, t) for i, t in items if t), key=lambda x: (x[0] is None, x[0] or 0, x[1]))]
-    kept = [x for x in kept if len(x[2]) >= min_words]
+    kept = [x for x in kept if x[2]]
     if not kept:
-        return None
-    counts = [Counter(ws) for _, _, ws in kept]
-    df = Counter(t for c in counts for t in c)
-    mean = sum(len(ws) for _, _, ws in kept) / len(kept)
-    idf = {t: np.log(1 + (len(kept) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
+        return []
+    if stats is None:
+        spans: dict[int, int] = {}
+        for _, _, ws in kept:
+            spans[_size(len(ws))] = max(len(ws), spans.get(_size(len(ws)), 0))
+        stats = Statistics(len(kept), sum(len(ws) for _, _, ws in kept) / len(kept), Counter(t for _, _, ws in kept for t in set(ws)), spans)
+    by_size: dict[int, list] = {}
+    for item in kept:
+        by_size.setdefault(_size(len(item[2])), []).append(item)
+    return [_index(own, stats.spans[size], stats, k1, b) for size, own in sorted(by_size.items())]
+
+
+def _index(kept: list[tuple[int | None, str, list[bytes]]], span: int, stats: Statistics, k1: float, b: float) -> Index:
     impacts: dict[bytes, list[tuple[int, float]]] = {}
-    for n, (c, (_, _, ws)) in enumerate(zip(counts, kept, strict=True)):
-        raw = {t: idf[t] * f * (k1 + 1) / (f + k1 * (1 - b + b * len(ws) / mean)) for t, f in c.items()}
+    for n, (_, _, ws) in enumerate(kept):
+        raw = {t: np.log(1 + (stats.n - stats.df[t] + 0.5) / (stats.df[t] + 0.5)) * f * (k1 + 1) / (f + k1 * (1 - b + b * len(ws) / stats.mean)) for t, f in Counter(ws).items()}
         own = sum(raw.values())
         for t, x in raw.items():
             impacts.setdefault(t, []).append((n, x / own))
@@ -98,7 +127,8 @@ def build(items: list[tuple[int | None, str | None]], k1: float = 1.2, b: float
         bs.append(len(blk))
     ps.append(len(pi))
     sides = [tuple(map(grams, question_answer(t))) for _, t, _ in kept]
-    return Index([i for i, _, _ in kept], sides, max(len(ws) for _, _, ws in kept), vocab, np.array(peak), np.array(bs), np.array(blk), np.array(bp), np.array(ps), np.array(pi), np.array(px))
+    exact = {n: ws for n, (_, _, ws) in enumerate(kept) if len(ws) < FEW}
+    return Index([i for i, _, _ in kept], sides, exact, span, vocab, np.array(peak), np.array(bs), np.array(blk), np.array(bp), np.array(ps), np.array(pi), np.array(px))
 
 
 def _expand(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,7 +183,9 @@ def search(ix: Index, docs: list[list[bytes]], threshold: float) -> list[tuple[i
 
 
 def verify(ix: Index, ws: list[bytes], start: int, item: int) -> tuple[float, float]:
-    """Shares of the question's and the answer's word triples that the passage has."""
+    """Shares of the question's and the answer's word triples that the passage has; of an item of few words all or nothing."""
+    if item in ix.exact:
+        return (float(_has(ws, start, ix.span, b" ".join(ix.exact[item]))),) * 2
     have = grams(ws[start : start + 2 * ix.span])
     question, answer = ix.sides[item]
     return tuple(len(side & have | {w for w in side if w.count(b" ") < GRAM - 1 and _has(ws, start, ix.span, w)}) / max(len(side), 1) for side in (question, answer))
@@ -176,47 +208,74 @@ def counts(q: float, a: float, sides: tuple[set[bytes], set[bytes]], overlap: fl
     return (q if n > m else a) == 1 or q * n + a * m >= TOGETHER * (n + m) - 1e-9
 
 
-def hits(ix: Index, texts: list[str | None], threshold: float, overlap: float) -> list[tuple[int, int, int, float, float, float]]:
-    """(text, first word, item, share, question's overlap, answer's) of verified hits, the best passage for each text and item."""
+def hits(ixs: list[Index], texts: list[str | None], threshold: float, overlap: float) -> list[tuple[int, int | None, int, float, float, float]]:
+    """(text, item's id, first word, share, question's overlap, answer's) of verified hits, the best passage for each text and item."""
     docs = [tokens(t) for t in texts]
-    best: dict[tuple[int, int], tuple] = {}
-    for d, start, item, share in search(ix, docs, threshold):
-        q, a = verify(ix, docs[d], start, item)
-        if counts(q, a, ix.sides[item], overlap) and (share, -start) > best.get((d, item), (0, 0))[:2]:
-            best[d, item] = (share, -start, q, a)
-    return [(d, -s, item, share, q, a) for (d, item), (share, s, q, a) in sorted(best.items())]
-
-
-def indexes(benchmark: DataFrame, chunk: int = 20_000, id_col: str = "item_id", text_col: str = "text") -> Iterator[Index]:
-    """Indexes of at most `chunk` items each, the bound on what is broadcast; more items make more passes."""
-    rows = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).distinct()
-    n = max(1, -(-rows.count() // chunk))
+    best: dict[tuple[int, int, int], tuple] = {}
+    for k, ix in enumerate(ixs):
+        for d, start, item, share in search(ix, docs, threshold):
+            q, a = verify(ix, docs[d], start, item)
+            if counts(q, a, ix.sides[item], overlap) and (share, -start) > best.get((d, k, item), (0, 0))[:2]:
+                best[d, k, item] = (share, -start, q, a)
+    return [(d, ixs[k].item_ids[item], -s, share, q, a) for (d, k, item), (share, s, q, a) in sorted(best.items())]
+
+
+def indexes(benchmark: DataFrame, chunk: int = 20_000, chunk_bytes: int = 8_000_000, id_col: str = "item_id", text_col: str = "text") -> Iterator[list[Index]]:
+    """Indexes of about `chunk` items and `chunk_bytes` of text at most, the bound on what is broadcast at once; more make more passes.
+
+    Document frequencies and the mean length are those of all items, so what is found doesn't hang on the passes.
+    """
+    rows = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null").distinct()
+    n_rows, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()
+    n = max(1, -(-n_rows // chunk), -(-size // chunk_bytes))
+    if n == 1:
+        found = build([(r["i"], r["t"]) for r in rows.collect()])
+        if found:
+            yield found
+        return
+
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(part, t, 1, c) for part, ws in zip(batch["part"], map(tokens, batch["t"]), strict=True) for t, c in Counter(ws).items()], columns=["part", "word", "one", "c"])
+
+    parts = materialize(rows.withColumn("part", F.pmod(F.xxhash64("i", "t"), F.lit(n))), "benchmark-parts")
+    said = materialize(parts.mapInPandas(words, "part long, word binary, one long, c long").groupBy("part", "word").agg(F.sum("one").alias("df"), F.sum("c").alias("c")), "benchmark-words")
+    every = said.groupBy("word").agg(F.sum("df").alias("df"))
+    total = said.agg(F.sum("c")).first()[0] or 0
+    sizes = parts.mapInPandas(_lengths, "size long, length long").groupBy("size").agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("span")).collect()  # a few sizes
+    with_words, spans = sum(r["n"] for r in sizes), {r["size"]: r["span"] for r in sizes}
     for k in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
-        ix = build([(r["i"], r["t"]) for r in part.collect()])
-        if ix is not None:
-            yield ix
+        own = said.where(F.col("part") == k).select("word")
+        df = {bytes(r["word"]): r["df"] for r in every.join(own, "word", "left_semi").collect()}  # of a part's words
+        found = build([(r["i"], r["t"]) for r in parts.where(F.col("part") == k).collect()], Statistics(with_words, total / max(with_words, 1), df, spans))
+        if found:
+            yield found
+
+
+def _lengths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        own = [n for n in map(len, map(tokens, batch["t"])) if n]
+        yield pd.DataFrame({"size": list(map(_size, own)), "length": own}, dtype="int64")
 
 
 def find(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.7, overlap: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, item_id, first_word, bm25_share, question_overlap, answer_overlap of every verified hit.
 
-    Null and empty texts have none. Items of the same id count each for itself, those without one too; items without text or
-    shorter than five words are left out. Repeated documents have hits each, null ids too. Empty tables give
+    Null and empty texts have none. Items of the same id count each for itself, those without one too; items without a word
+    have no hits, those of fewer than five words hit where they stand word by word. Repeated documents have hits each, null ids too. Empty tables give
     no rows. Other columns are not read.
     """
     schema = "doc_id long, item_id long, first_word long, bm25_share double, question_overlap double, answer_overlap double"
     spark = docs.sparkSession
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     out = spark.createDataFrame([], schema)
-    for ix in indexes(benchmark):
-        shared = spark.sparkContext.broadcast(ix)
+    for ixs in indexes(benchmark):
+        shared = spark.sparkContext.broadcast(ixs)
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            index = shared.value
             for batch in batches:
                 ids, texts = batch["doc_id"].tolist(), [t if isinstance(t, str) else None for t in batch["text"]]
-                rows = [(None if pd.isna(ids[at + d]) else ids[at + d], index.item_ids[item], s, x, q, a) for at in range(0, len(texts), 200) for d, s, item, x, q, a in hits(index, texts[at : at + 200], threshold, overlap)]
+                rows = [(None if pd.isna(ids[at + d]) else ids[at + d], item, s, x, q, a) for at in range(0, len(texts), 200) for d, item, s, x, q, a in hits(shared.value, texts[at : at + 200], threshold, overlap)]
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")]).astype({"doc_id": "Int64", "item_id": "Int64"})
 
         out = out.unionAll(own.mapInPandas(run, schema))
@@ -224,10 +283,10 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.7, overlap:
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.7, overlap: float = 0.6, text_col: str = "text") -> DataFrame:
-    """docs without the rows that find() has a hit for; all columns stay, nothing is shuffled."""
-    for ix in indexes(benchmark):
+    """docs without the rows that find() has a hit for; all columns stay, nothing is shuffled. Null and empty texts stay, repeated rows fare alike."""
+    for ixs in indexes(benchmark):
         kept = fresh(docs.columns, "_clean")
-        docs = docs.withColumn(kept, _clean(docs.sparkSession.sparkContext.broadcast(ix), threshold, overlap)(docs[text_col].cast("string"))).where(kept).drop(kept)
+        docs = docs.withColumn(kept, _clean(docs.sparkSession.sparkContext.broadcast(ixs), threshold, overlap)(docs[text_col].cast("string"))).where(kept).drop(kept)
     return docs
 
 

@@ -47,7 +47,7 @@ def test_decontamination_finds_copies(spark):
 def test_search_equals_scoring_all():
     items = duckdb.sql(f"select item_id, text from '{SF}/benchmark.parquet'").fetchall()
     texts = [r[0] for r in duckdb.sql(f"select text from '{SF}/documents.parquet' limit 60").fetchall()]
-    ix = decontam.build(items)
+    [ix] = decontam.build(items)
     docs = [decontam.tokens(t) for t in texts]
     impact = {}
     for t, k in ix.vocab.items():
