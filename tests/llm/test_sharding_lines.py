@@ -3,6 +3,7 @@ import zlib
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from cirro.llm import linededup, sharding
 from cirro.llm.queries import ORACLE_SQL
@@ -87,3 +88,38 @@ def test_line_edges(spark):
     assert got == [(0, "shared line of text"), (1, "shared line of text"), (1, "shared line of text"), (2, "more")]
     assert linededup.dedup_lines(df.limit(0)).count() == 0
     assert "Python" not in out._jdf.queryExecution().toString()
+
+
+def test_bitmaps_of_long_texts(spark):
+    """Words of the bitmap that are all ones are left out; ten thousand lines are looked up by their place."""
+    shared = "the one line that both of them have"
+    lines = [shared if i in (3, 64, 700, 9999) else f"a line of its own, number {i}" for i in range(10_000)]
+    df = spark.createDataFrame([(1, shared), (2, "\n".join(lines))], "doc_id long, text string")
+    [row] = linededup.keep_bitmaps(df).collect()
+    want = {0: ~8, 1: ~1, 10: ~(1 << 60), 156: ~(1 << 15)}
+    assert (row["doc"], row["n_dropped"], {k["word"]: k["bits"] for k in row["keeps"]}) == (2, 4, want)
+    [dense] = linededup.keep_bitmaps(df).select(linededup.expand(F.col("keeps"))).first()
+    assert dense == [want.get(i, -1) for i in range(157)]
+    kept = {r["doc_id"]: r["kept_text"] for r in linededup.dedup_lines(df).collect()}
+    assert kept == {1: shared, 2: "\n".join(x for x in lines if x != shared)}
+
+
+def test_shards_prune_on_every_dimension(spark):
+    """Least and greatest values of a shard tell most shards apart, and not only on the first dimension."""
+    import random
+
+    rng = random.Random(1)
+    rows = [(i, "x" * int(2 ** rng.uniform(0, 12)), rng.choice(["de", "en", "es", "fr"]), f"s{rng.randrange(20):02d}") for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = sharding.shard(df).join(df.drop("text"), "doc_id").toPandas()
+    read = lambda c, v: ((out.groupby("shard")[c].min() <= v) & (out.groupby("shard")[c].max() >= v)).sum()
+    assert max(read("lang", v) for v in ("de", "en", "es", "fr")) <= 20
+    assert sum(read("source", f"s{k:02d}") for k in range(20)) / 20 <= 20
+    assert sum(read("size", 2**k) for k in range(5, 12)) / 7 <= 20
+
+
+def test_many_names_go_by_their_first_byte(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "MOST_NAMES", 3)
+    df = spark.createDataFrame([(i, "t", c, None) for i, c in enumerate(["zz", "", None, "aa", "é", "b"])], "doc_id long, text string, lang string, source string")
+    curve = {r["doc_id"]: r["curve"] for r in sharding.shard(df).collect()}
+    assert len(curve) == 6 and len(set(curve.values())) == 6
