@@ -1,24 +1,30 @@
-"""Toxicity (operator 5): a support vector machine on a gap-weighted subsequence kernel.
+"""Toxicity (operator 5): a support vector machine on a gap-weighted subsequence kernel over the sentences' windows.
 
-Two units (words, or runs of spaced-out letters) are alike as far as they share subsequences of
-three characters; a subsequence counts LAMBDA to the power of the characters it skips, within a span
-of SPAN. So an inserted or dropped character costs little. The kernel is approximated by Nystrom
+Every sentence gives windows of one word and of two neighbouring words; runs of spaced-out letters are one word. Two windows
+are alike as far as they share subsequences of three characters; a subsequence counts LAMBDA to the power of the
+characters it skips, within a span of SPAN, and spaces are only ever skipped. So an inserted, dropped or set-apart
+character costs little, and an insult may be cut in two or be a phrase. The kernel is approximated by Nystrom
 landmarks, on which a linear machine is trained. Labels belong to documents: every sentence
 of a clean document is clean, and one of a toxic document's sentences holds its
-worst unit, which training finds by turns (multiple instances). A document's score is that of
-its worst unit, through a sigmoid fitted to documents that training has not seen.
+worst window, which training finds by turns (multiple instances). A sentence is as bad as its worst window, and a document's
+score goes by its worst window and its second and third worst words (one word may be there by chance), through a sigmoid
+fitted to documents that training has not seen.
 
-All landmarks fold into one weight per subsequence, so that scoring a unit takes one look-up for
-each of its subsequences.
+All landmarks fold into one weight per subsequence. Words are scored once and kept. For pairs a bound comes first (the norm
+of a window whose subsequences are all different is the least there is), and only pairs whose bound lies above the
+text's worst word are scored exactly.
 """
 
 from __future__ import annotations
 
 import re
 import sys
+import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import cache, cached_property
 
 import numpy as np
 import pandas as pd
@@ -29,9 +35,12 @@ from pyspark.sql import functions as F
 from cirro.llm.common import fresh, learn_part
 
 LAMBDA, SPAN = 0.6, 6
+PAIRS = 100_000
+POWER, WEIGHT = 1.0, 0.05  # documents that have a window count by this power; all toxic windows together weigh so much of the clean ones
 LONGEST, OVERLAP = 40, 8  # longer units are cut into parts that overlap
-CODES = 64
+CODES, SPACE = 96, 95
 _SENTENCE = re.compile(r"(?<=[.!?])[ \t\n\x0b\f\r]+|\n")
+_ACCENTS = re.compile("[\u0300-\u036f]+")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _GAPS = [(j, k) for k in range(2, SPAN) for j in range(1, k)]
 
@@ -40,51 +49,80 @@ def sentences(text: str | None) -> list[str]:
     return [s for s in _SENTENCE.split(text or "") if s]
 
 
-def units(text: str | None) -> set[str]:
-    """Lower-cased words without punctuation at their ends, and joined runs of single characters; ^ and $ mark ends."""
-    out: set[str] = set()
-    run: list[str] = []
-    for token in (text or "").lower().split():
+def _words(sentence: str) -> list[str]:
+    """Lower-cased words without punctuation at their ends, runs of single characters joined."""
+    out: list[str] = []
+    run = ""
+    for token in sentence.split():
         w = token if token.isalnum() else _EDGE.sub("", token)
         if len(w) == 1:
-            run.append(w)
+            run += w
             continue
         if run:
-            if len(run) > 2:
-                _add(out, "".join(run))
-            run = []
+            out.append(run)
+            run = ""
         if w:
-            _add(out, w)
-    if len(run) > 2:
-        _add(out, "".join(run))
+            out.append(w)
+    if run:
+        out.append(run)
     return out
 
 
-def _add(out: set[str], w: str) -> None:
-    if len(w) <= LONGEST:
-        out.add(f"^{w}$")
-    else:
-        out.update(w[at : at + LONGEST] for at in range(0, len(w) - OVERLAP, LONGEST - OVERLAP))
+def windows(text: str | None) -> tuple[set[str], set[str]]:
+    """The words and the pairs of neighbouring words of a text's sentences; ^ and $ mark ends. Accents are left out."""
+    text = (text or "").lower()
+    if not text.isascii():
+        text = _ACCENTS.sub("", unicodedata.normalize("NFKD", text))
+    one: set[str] = set()
+    two: set[str] = set()
+    for sentence in sentences(text):
+        ws = _words(sentence)
+        one.update(ws)
+        two.update(zip(ws, ws[1:], strict=False))
+    words: set[str] = set()
+    for w in one:
+        if len(w) <= LONGEST:
+            words.add(f"^{w}$")
+        else:
+            words.update(w[at : at + LONGEST] for at in range(0, len(w) - OVERLAP, LONGEST - OVERLAP))
+    half = LONGEST // 2
+    return words, {f"^{a} {b}$" if len(a) + len(b) < LONGEST else f"{a[-half:]} {b[:half]}" for a, b in two}
+
+
+def units(text: str | None) -> set[str]:
+    return set().union(*windows(text))
+
+
+def _table() -> np.ndarray:
+    """Codes of the characters below 128: a-z, digits, ^ and $ have codes of their own, other characters share 57, the space is none of them."""
+    o = np.arange(128)
+    code = 38 + o % 57
+    code = np.where((o >= 97) & (o <= 122), o - 97, code)
+    code = np.where((o >= 48) & (o <= 57), o - 48 + 26, code)
+    code[[94, 36, 32]] = 36, 37, SPACE
+    return code.astype(np.int32)
+
+
+_LOW = _table()
 
 
 def _codes(text: str) -> np.ndarray:
-    """a-z and digits have codes of their own; other characters share 28."""
+    if text.isascii():
+        return _LOW[np.frombuffer(text.encode(), dtype=np.uint8)]
     o = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
-    code = 36 + o % 28
-    code = np.where((o >= 97) & (o <= 122), o - 97, code)
-    return np.where((o >= 48) & (o <= 57), o - 48 + 26, code)
+    return np.where(o < 128, _LOW[np.minimum(o, 127)], 38 + o % 57).astype(np.int32)
 
 
 def subsequences(us: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Unit number, subsequence and weight, one row for each subsequence of each unit, weights of norm 1 in a unit."""
-    flat = _codes("".join(us))
+    flat = _codes("".join(us)).astype(np.int64)
     of = np.repeat(np.arange(len(us)), [len(u) for u in us])
     n = len(flat)
     keys, weights = [], []
     for j, k in _GAPS:
         if n <= k:
             continue
-        same = np.flatnonzero(of[: n - k] == of[k:])
+        same = np.flatnonzero((of[: n - k] == of[k:]) & (flat[: n - k] != SPACE) & (flat[j : n - k + j] != SPACE) & (flat[k:] != SPACE))
         keys.append(of[same] * CODES**3 + (flat[same] * CODES + flat[same + j]) * CODES + flat[same + k])
         weights.append(np.full(len(same), LAMBDA ** (k - 2)))
     if not keys:
@@ -121,11 +159,24 @@ def kernel(a: list[str], b: list[str]) -> np.ndarray:
     return out
 
 
+@cache
+def _least_norms() -> np.ndarray:
+    """(length, place of the space or length): norm of a window all of whose subsequences are different."""
+    most = LONGEST + 4
+    out = np.zeros((most, most))
+    for length in range(most):
+        for space in range(length + 1):
+            there = np.ones(length, dtype=bool)
+            there[space : space + 1] = False
+            out[length, space] = np.sqrt(sum(LAMBDA ** (2 * (k - 2)) * (there[:-k] & there[j : length - k + j] & there[k:]).sum() for j, k in _GAPS if k < length))
+    return np.maximum(out, 1e-9)
+
+
 @dataclass
 class Model:
     weights: np.ndarray = field(default_factory=lambda: np.zeros(CODES**3, np.float32))
     bias: float = -1.0
-    slope: float = 1.0
+    slopes: np.ndarray = field(default_factory=lambda: np.array([1.0, 0, 0, 0, 0, 0]))  # of a text's worst window, second and third worst word, and of their squares
     shift: float = -3.0
 
     def margins(self, us: list[str]) -> np.ndarray:
@@ -137,8 +188,47 @@ class Model:
             out[at : at + len(part)] += np.bincount(unit, weights=weight * self.weights[sub], minlength=len(part))
         return out
 
-    def probability(self, margin: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30)))
+    def bounds(self, us: list[str]) -> np.ndarray:
+        """What margins() of each unit can be at most; units of one space at most."""
+        lengths = np.fromiter(map(len, us), dtype=np.int64, count=len(us))
+        stops = np.cumsum(lengths)
+        starts = stops - lengths
+        c = _codes("".join(us))
+        n, total = len(c), np.zeros(len(us))
+        pair = {j: c[: n - j] * CODES + c[j:] for j in range(1, SPAN)} if n > SPAN else {}
+        weights = self.seen
+        for k in range(2, SPAN) if pair else ():
+            got = weights.take(pair[1][: n - k] * CODES + c[k:])
+            for j in range(2, k):
+                got += weights.take(pair[j][: n - k] * CODES + c[k:])
+            run = np.concatenate([[0.0], np.cumsum(got, dtype=np.float64)])
+            total += LAMBDA ** (k - 2) * (run[np.maximum(stops - k, starts).clip(max=n - k)] - run[starts.clip(max=n - k)])
+        space = np.fromiter((u.find(" ") for u in us), dtype=np.int64, count=len(us))
+        return np.maximum(total, 0) / _least_norms()[lengths, np.where(space < 0, lengths, space)] + self.bias + 1e-6
+
+    @cached_property
+    def seen(self) -> np.ndarray:
+        """weights, but none for subsequences with a space."""
+        out = self.weights.reshape(CODES, CODES, CODES).copy()
+        out[SPACE], out[:, SPACE], out[:, :, SPACE] = 0, 0, 0
+        return out.ravel()
+
+    def worst(self, words: np.ndarray, pair: float) -> tuple[float, float, float]:
+        """The features of a text: the margin of its worst window, and those of its second and third worst words, of its words' margins and its worst pair's."""
+        top = np.sort(np.partition(words, -3)[-3:] if len(words) > 3 else words)[::-1].tolist()
+        top += [self.bias - 1] * (3 - len(top))
+        return max(top[0], pair), top[1], top[2]
+
+    def features(self, us: Sequence[str]) -> tuple[float, float, float]:
+        words, pairs = [u for u in us if " " not in u], [u for u in us if " " in u]
+        own = self.margins(words)
+        best = own.max(initial=self.bias - 1)
+        above = [pairs[i] for i in np.flatnonzero(self.bounds(pairs) > best)] if pairs else []
+        return self.worst(own, self.margins(above).max(initial=self.bias - 1))
+
+    def probability(self, features: np.ndarray) -> np.ndarray:
+        """Of rows of worst()."""
+        return 1 / (1 + np.exp(-np.clip(_with_squares(features) @ self.slopes + self.shift, -30, 30)))
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float) -> np.ndarray:
@@ -155,10 +245,12 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float) -> np.nd
     return w
 
 
-def fit(docs: list[tuple[int, Sequence[str]]], landmarks: int = 160, rounds: int = 4, cost: float = 1.0, negatives: int = 12_000, seed: int = 0) -> Model:
+def fit(docs: list[tuple[int, Sequence[str]]], landmarks: int = 400, rounds: int = 4, cost: float = 1.0, negatives: int = 12_000, seed: int = 0) -> Model:
     """docs: label and units of training documents, in an order that has nothing to do with the label.
 
-    A quarter of them only fits the sigmoid. Without both labels the model calls nothing toxic.
+    A quarter of them only fits the sigmoid. Without both labels the model calls nothing toxic. landmarks bounds the
+    machine's dimensions, and negatives the words of clean documents in one round, the most frequent third and others by
+    chance, to which come a quarter as many pairs by chance and as many of the worst windows.
     """
     part = [d for n, d in enumerate(docs) if n % 4 != 3]
     pos, neg = [u for y, u in part if y == 1 and u], [u for y, u in part if y == 0 and u]
@@ -166,73 +258,92 @@ def fit(docs: list[tuple[int, Sequence[str]]], landmarks: int = 160, rounds: int
         return Model()
     rng = np.random.default_rng(seed)
     in_pos, in_neg = Counter(x for u in pos for x in u), Counter(x for u in neg for x in u)
-    odds = {x: np.log((n + 0.1) / (len(pos) + 1)) - np.log((in_neg[x] + 0.5) / (len(neg) + 1)) for x, n in in_pos.items()}
-    toxic = sorted(odds, key=lambda x: (-odds[x] * np.sqrt(in_pos[x]), x))[: landmarks // 2]
+    names = list(in_pos)
+    proof = dict(zip(names, _evidence(np.array([in_pos[x] for x in names]), np.array([in_neg[x] for x in names]), len(pos), len(neg)).tolist(), strict=True))
+    strong = 2 * np.log(len(names) + 1)  # by chance one unit of all, or none, has as much
+    toxic = sorted(proof, key=lambda x: (-proof[x], x))[: landmarks // 2]
     usual = sorted(in_neg, key=lambda x: (-in_neg[x], x))[: landmarks - len(toxic)]
     marks = list(dict.fromkeys([*toxic, *usual]))
     values, vectors = np.linalg.eigh(kernel(marks, marks).astype(float))
     keep = values > 1e-6
     root = vectors[:, keep] / np.sqrt(values[keep])  # Nystrom map: kernel to the landmarks times this
     pool = sorted(in_neg)
-    often = sorted(in_neg, key=lambda x: (-in_neg[x], x))[: negatives // 3]
-    sample = list(dict.fromkeys([*often, *[pool[i] for i in rng.permutation(len(pool))[: negatives - len(often)]]]))
+    words, pairs = [x for x in pool if " " not in x], [x for x in pool if " " in x]
+    often = sorted(words, key=lambda x: (-in_neg[x], x))[: negatives // 3]
+    sample = list(dict.fromkeys([*often, *[words[i] for i in rng.permutation(len(words))[: negatives - len(often)]], *[pairs[i] for i in rng.permutation(len(pairs))[: negatives // 4]]]))
     unit, sub, weight = subsequences(marks)
-    # what clean documents hold is clean, but for a few wrong labels; at first a unit must be shared by toxic documents,
-    # later it must already lie on the toxic side: a document that nothing speaks for teaches nothing
-    least = max(3, len(pos) // 100)
-    dirty = [[x for x in u if in_neg[x] * 500 <= len(neg)] for u in pos]
+    # what clean documents hold is clean, but for a few wrong labels: a unit that more than one in 500 of them has needs proof that
+    # toxic ones have it more often, and so do two words together, for by chance any two are new; at first a unit must be proved,
+    # later it must lie on the toxic side: a document that nothing speaks for teaches nothing
+    dirty = [[x for x in u if proof[x] >= strong or (in_neg[x] * 500 <= len(neg) and " " not in x)] for u in pos]
+    every = sorted({x for u in dirty for x in u})
     got: dict[str, float] = {}
-    model, pick = Model(), lambda u: max(u, key=lambda x: (odds[x] * np.sqrt(in_pos[x]), x))
+    model, pick = Model(), lambda u: max(u, key=lambda x: (proof[x], x))
     for turn in range(rounds):
-        found = [pick(u) for u in ([x for x in u if turn or in_pos[x] >= least] for u in dirty) if u]
-        worst = Counter(x for x in found if not turn or got[x] > 0)
+        found = [pick(u) for u in ([x for x in u if (x in got if turn else proof[x] >= strong)] for u in dirty) if u]
+        worst = Counter(found)
         if not worst:
             return Model()
-        hard = sample if turn == 0 else list(dict.fromkeys([*sample, *[pool[i] for i in np.argsort(-model.margins(pool), kind="stable")[: negatives // 4]]]))
+        hard = sample if turn == 0 else list(dict.fromkeys([*sample, *[pool[i] for i in np.argsort(-model.bounds(pool), kind="stable")[: negatives // 4]]]))
         x = kernel([*worst, *hard], marks) @ root
         x = np.hstack([x, np.ones((len(x), 1))])
         y = np.array([1.0] * len(worst) + [-1.0] * len(hard))
-        share = np.sqrt(np.array([worst[u] for u in worst] + [in_neg[u] for u in hard], dtype=float))
+        share = np.array([worst[u] for u in worst] + [in_neg[u] for u in hard], dtype=float) ** POWER
         share[len(worst) :] *= len(hard) / share[len(worst) :].sum()
-        share[: len(worst)] *= len(hard) / share[: len(worst)].sum() / 4
+        share[: len(worst)] *= len(hard) / share[: len(worst)].sum() * WEIGHT
         w = _svm(x, y, share, cost)
         beta = root @ w[:-1]
         weights = np.zeros(CODES**3, np.float32)
         np.add.at(weights, sub, weight * beta[unit])
         model = Model(weights, float(w[-1]))
-        every = sorted(in_pos)
-        got = dict(zip(every, model.margins(every), strict=True))
+        maybe = [every[i] for i in np.flatnonzero(model.bounds(every) > 0)] if every else []
+        got = {u: m for u, m in zip(maybe, model.margins(maybe).tolist(), strict=True) if m > 0}
         pick = lambda u: max(u, key=lambda x: (got[x], x))  # noqa: E731,B023
     rest = [d for n, d in enumerate(docs) if n % 4 == 3]
     if min(sum(y == k for y, _ in rest) for k in (0, 1)) < 10:
         rest = docs  # too few to go by alone
-    margin = np.array([max(model.margins(u), default=model.bias) for _, u in rest])
+    found = np.array([model.features(u) for _, u in rest])
     label = np.array([y for y, _ in rest], dtype=float)
     if label.min(initial=1) == label.max(initial=0):
         return model
-    model.slope, model.shift = _sigmoid(margin, label)
+    model.slopes, model.shift = _sigmoid(_with_squares(found), label)
     return model
 
 
-def _sigmoid(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """Platt's: logistic regression with smoothed targets, by Newton steps."""
+def _with_squares(features: np.ndarray) -> np.ndarray:
+    """Windows near the toxic side tell more than in proportion, those far on the clean side nothing."""
+    return np.hstack([features, np.maximum(features, -0.5) ** 2])
+
+
+def _evidence(a: np.ndarray, b: np.ndarray, n: int, m: int) -> np.ndarray:
+    """Twice the logarithm of the likelihood ratio of a of n and b of m documents against one share in both; 0 where the first share is the smaller."""
+    share = (a + b) / (n + m)
+    part = lambda k, size, p: k * np.log(np.maximum(k / size, 1e-12) / p) + (size - k) * np.log(np.maximum(1 - k / size, 1e-12) / np.maximum(1 - p, 1e-12))
+    return np.where(a / n > b / m, 2 * (part(a, n, share) + part(b, m, share)), 0.0)
+
+
+def _sigmoid(features: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, float]:
+    """Logistic regression with smoothed targets, by Newton steps."""
     up, down = label.sum(), len(label) - label.sum()
     target = np.where(label == 1, (up + 1) / (up + 2), 1 / (down + 2))
-    x = np.column_stack([margin, np.ones(len(margin))])
-    w = np.array([1.0, 0.0])
+    x = np.column_stack([features, np.ones(len(features))])
+    ridge = np.diag([1e-2] * features.shape[1] + [1e-3])
+    w = np.array([1.0] + [0.0] * features.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 1e-3 * np.eye(2), x.T @ (target - p) - 1e-3 * w)
+        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge, x.T @ (target - p) - ridge @ w)
         w = w + step
         if np.abs(step).max() < 1e-8:
             break
-    return float(w[0]), float(w[1])
+    return w[:-1], float(w[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, max_windows: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model from at most max_docs labelled documents (the bound), half of each label, those of least hash, none of them held out.
 
-    Their texts become sets of units on the executors; the driver gets those sets.
+    Their sentences become sets of windows on the executors; the driver gets those sets, of a document with more than
+    max_windows the ones of least hash. A document that is labelled both ways is toxic; of an id's different texts each is a document. landmarks and
+    negatives of fit() bound the machine.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("y")).where("id is not null and y in (0, 1)").where(learn_part(F.col("id")) != 2)
     known = known.groupBy("id").agg(F.max("y").alias("y"))
@@ -240,11 +351,14 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, id_col: str
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "y": batch["y"], "units": [sorted(set().union(*map(units, sentences(t)))) if isinstance(t, str) else [] for t in batch["text"]]})
+            found = [sorted(units(t), key=lambda u: (zlib.crc32(u.encode("utf-8", "surrogatepass")), u))[:max_windows] if isinstance(t, str) else [] for t in batch["text"]]
+            yield pd.DataFrame({"id": batch["id"], "th": batch["th"], "y": batch["y"], "units": found})
 
-    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).join(F.broadcast(chosen), "id").mapInPandas(split, "id long, y int, units array<string>")
+    text = docs[text_col].cast("string")
+    own = docs.select(docs[id_col].cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text")).join(F.broadcast(chosen), "id")
+    rows = own.mapInPandas(split, "id long, th long, y int, units array<string>")
     one = sys.intern  # a unit is kept once, however many documents have it
-    found = {r["id"]: (r["y"], tuple(map(one, r["units"]))) for r in rows.toLocalIterator()}
+    found = {(r["id"], r["th"]): (r["y"], tuple(map(one, r["units"]))) for r in rows.toLocalIterator()}
     rank = np.random.default_rng(1).permutation(len(found))
     order = sorted(found)
     return fit([found[order[i]] for i in rank])
@@ -256,13 +370,27 @@ class Scorer:
         self.cache: dict[str, float] = {}
 
     def batch(self, texts: list[str | None]) -> np.ndarray:
-        found = [units(t) for t in texts]
+        found = [windows(t) for t in texts]
         cache = self.cache
         if len(cache) > self.cache_size:
             cache.clear()
-        new = list(set().union(*found).difference(cache)) if found else []
+        new = list(set().union(*[w for w, _ in found]).difference(cache)) if found else []
         cache.update(zip(new, self.model.margins(new).tolist(), strict=True))
-        return self.model.probability(np.array([max(map(cache.__getitem__, u), default=self.model.bias - 1) for u in found]))
+        margins = [np.fromiter(map(cache.__getitem__, w), dtype=float, count=len(w)) for w, _ in found]
+        worst = np.array([x.max(initial=self.model.bias - 1) for x in margins])
+        at = 0
+        while at < len(found):  # some hundred thousand pairs at a time
+            to, pairs = at, []
+            while to < len(found) and (to == at or len(pairs) + len(found[to][1]) <= PAIRS):
+                pairs += found[to][1]
+                to += 1
+            of = np.repeat(np.arange(at, to), [len(p) for _, p in found[at:to]])
+            for lo in range(0, len(pairs), PAIRS):
+                part, own = pairs[lo : lo + PAIRS], of[lo : lo + PAIRS]
+                above = np.flatnonzero(self.model.bounds(part) > worst[own])
+                np.maximum.at(worst, own[above], self.model.margins([part[i] for i in above]))
+            at = to
+        return self.model.probability(np.array([self.model.worst(x, p) for x, p in zip(margins, worst, strict=True)]).reshape(-1, 3))
 
 
 _SCORERS: dict[int, Scorer] = {}

@@ -114,6 +114,8 @@ def string_kernel(a, b):
         for i in range(len(s)):
             for j in range(i + 1, len(s)):
                 for k in range(j + 1, min(len(s), i + toxicity.SPAN)):
+                    if " " in s[i] + s[j] + s[k]:
+                        continue
                     out[s[i] + s[j] + s[k]] += toxicity.LAMBDA ** (k - i - 2)
         return out
 
@@ -124,10 +126,50 @@ def string_kernel(a, b):
 
 
 def test_kernel_by_definition():
-    a, b = ["^idiot$", "^idi*ot$", "^xy", "^aabbaabb$"], ["^idiot$", "^abab$", "^q"]
+    a, b = ["^idiot$", "^idi*ot$", "^xy", "^aabbaabb$", "^id iot$", "^a b$"], ["^idiot$", "^abab$", "^q", "^i diot$"]
     assert toxicity.kernel(a, b) == pytest.approx(np.array([[string_kernel(x, y) for y in b] for x in a]), abs=1e-5)
 
 
+def test_bounds_hold_and_are_met_without_repeats():
+    rng = random.Random(2)
+    weights = np.random.default_rng(2).normal(size=toxicity.CODES**3).astype(np.float32)
+    model = toxicity.Model(weights, -0.5)
+    us = ["^" + "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(1, 12))) + rng.choice(["", " xyz"]) + "$" for _ in range(400)] + ["^aaaa aaaaaa$", "a", "", "^é ß$"]
+    exact, bound = model.margins(us), model.bounds(us)
+    assert (bound >= exact - 1e-5).all()
+    plain = np.array([len(set(u)) == len(u) for u in us]) & (exact > model.bias) & np.array([len(u) > 3 for u in us])
+    assert plain.sum() > 20 and bound[plain] == pytest.approx(exact[plain], abs=1e-3)
+
+
+def test_windows_stay_in_their_sentence():
+    words, pairs = toxicity.windows("One two. Thrée! f u\nx y z end " + "q" * 50)
+    assert words >= {"^one$", "^two$", "^three$", "^fu$", "^xyz$", "^end$"} and max(map(len, words)) <= toxicity.LONGEST + 2
+    assert {"^one two$", "^xyz end$"} <= pairs and not any("two thr" in p or "fu x" in p for p in pairs)
+    assert toxicity.windows(None) == toxicity.windows(" . ") == (set(), set())
+
+
+def test_insults_of_two_words_and_cut_ones(spark):
+    """A phrase of two words that are clean each for itself, and an insult that a space cuts."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice(["ta", "re", "mo", "li", "son", "ke"]) for _ in range(rng.randint(1, 4)))
+    docs, labels = [], []
+    for n in range(900):
+        ws = [word() for _ in range(24)]
+        k = rng.randrange(22)
+        kind = n % 5
+        if kind == 0:
+            ws[k] = "grumbole"
+        elif kind == 1:
+            ws[k : k + 2] = ["vad", "pux"]
+        elif kind == 2:
+            ws[k], ws[(k + 9) % 24] = "vad", "pux"
+        docs.append((n, " ".join(ws)))
+        labels.append((n, int(kind < 2)))
+    model = toxicity.train(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    score = lambda t: toxicity.Scorer(model).batch([t])[0]
+    assert score("tare moli vad pux son") > 0.3 > score("tare vad moli keson pux rere") and score("tare grum bole son") > 0.3
+
+
 def test_gapped_insults_are_found():
     rng = random.Random(3)
     word = lambda: "".join(rng.choice(["ta", "re", "mo", "li", "son", "ke"]) for _ in range(rng.randint(1, 4)))
@@ -150,8 +192,11 @@ def test_toxicity_held_out(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     got = queries.op5_toxicity(spark, SF)
     assert got.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
-    held = [r for r in got.join(labels, "doc_id").collect() if r["held_out"]]
+    held = [r for r in got.join(labels, "doc_id").join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").collect() if r["held_out"]]
     assert sum((r["score"] >= 0.3) == bool(r["toxic"]) for r in held) / len(held) > 0.9
+    # of 37 toxic documents to learn from a third are of three other languages; the insults of the first are found
+    own = [r for r in held if r["toxic"] and r["lang"] == "en"]
+    assert len(own) >= 8 and sum(r["score"] >= 0.3 for r in own) >= 0.9 * len(own) and sum(r["score"] >= 0.3 for r in held if not r["toxic"]) <= 1
     assert all(r["predicted"] == int(r["score"] >= 0.3) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in held)
 
 
