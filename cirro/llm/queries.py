@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cirro.llm import chat, decontam, langid, linededup, packing, quality, rollup, sharding, simhash, toxicity
-from cirro.llm.common import learn_part, shared_path, table
+from cirro.llm.common import learn_part, materialize, shared_path, table
 
 
 def tokenizer_file(name: str) -> str:
@@ -60,15 +60,24 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = chat.link(*chat.turns_as_calls(table(spark, sf_dir, "conversations")), chat.REPLY)
+    out = chat.format_chat(chat.as_tool_messages(table(spark, sf_dir, "conversations")), chat.REPLY)
     return out.withColumn("errors", F.array_join("errors", ","))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = rollup.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), "word_bpe_49k")
+    """All documents are inserted; those whose id ends in 7 are revised, their text being trimmed and doubled and counted under a new version; those whose id ends in 3 are deleted. Batches are replayed and compacted between."""
+    docs, path = table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json")
     totals = rollup.Rollup(spark, shared_path(spark, "token-rollup"))
+    counts = materialize(rollup.token_counts(docs, path, "1"), "token-counts")
+    digit = F.pmod(F.col("doc_id"), F.lit(10))
+    text = F.btrim("text")
+    new = rollup.token_counts(docs.where(digit == 7).withColumn("text", F.concat(text, F.lit(" "), text)), path, "2")
     totals.commit("all documents", rollup.inserts(counts))
     totals.commit("all documents", rollup.inserts(counts))  # a replay, which counts for nothing and runs nothing
+    totals.commit("revised", rollup.revisions(counts.where(digit == 7), new))
+    totals.compact()
+    totals.commit("deleted", rollup.deletes(counts.where(digit == 3)))
+    totals.commit("revised", rollup.revisions(counts.where(digit == 7), new))
     return totals.totals()
 
 
@@ -89,23 +98,46 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (doc_id > first_doc) AS n_dr
 FROM lines LEFT JOIN firsts USING (key) GROUP BY doc_id
 """,
     "op2_chat": r"""
-WITH calls AS (
-  SELECT conv_id, 'c' || conv_id || '-' || turn AS call_id, min(turn) AS turn, count(*) AS n_calls,
-         min('{"chars":' || coalesce(CAST(length(text) AS varchar), 'null') || ',"prompt":' || coalesce(CAST(to_json(text) AS varchar), 'null') || '}') AS arguments,
-         bool_or(text IS NULL) AS broken
-  FROM conversations WHERE role = 'user' GROUP BY conv_id, turn
+WITH base AS (
+  SELECT *, CASE WHEN conv_id IS NULL THEN 0 ELSE conv_id % 5 END AS kind,
+         CAST(to_json(text) AS varchar) AS quoted,
+         '"chars":' || coalesce(CAST(length(text) AS varchar), 'null') || ',"prompt":' || coalesce(CAST(to_json(text) AS varchar), 'null') AS inside,
+         '{"prompt":' || coalesce(CAST(to_json(text) AS varchar), 'null') || ',"chars":' || coalesce(CAST(length(text) AS varchar), 'null') AS cut
+  FROM conversations
+), calls AS (
+  SELECT conv_id, turn, any_value(kind) AS kind, 'c' || conv_id || '-' || turn AS call_id, count(*) AS n_calls, bool_or(text IS NULL) AS broken,
+         min_by(inside, cut) AS inside, min(cut) AS cut
+  FROM base WHERE role = 'user' GROUP BY conv_id, turn
+), runs AS (
+  SELECT conv_id, turn, count(*) OVER r AS n, max(turn) OVER r AS last
+  FROM (SELECT conv_id, turn, turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS run, turn % 2 AS side FROM calls)
+  WINDOW r AS (PARTITION BY conv_id, side, run)
+), odd AS (
+  SELECT conv_id, max(n) > 1 AS odd FROM runs GROUP BY conv_id
+), placed AS (
+  SELECT calls.*, CASE WHEN odd AND kind = 1 THEN (last - turn) // 2 WHEN odd AND kind = 2 THEN CASE WHEN n > 1 THEN NULL ELSE 0 END ELSE turn END AS topo
+  FROM calls JOIN runs USING (conv_id, turn) JOIN odd USING (conv_id)
 ), results AS (
-  SELECT conv_id, 'c' || conv_id || '-' || (turn - 1) AS call_id, min(turn) AS result_turn, min(text) AS content, count(*) AS n_results
-  FROM conversations WHERE role = 'assistant' GROUP BY conv_id, turn
+  SELECT conv_id, 'c' || conv_id || '-' || (turn - 1) AS call_id, min(CASE WHEN kind = 4 THEN turn - 2 ELSE turn END) AS result_turn, min(text) AS content, count(*) AS n_results
+  FROM base WHERE role = 'assistant' GROUP BY conv_id, turn
 ), linked AS (
-  SELECT conv_id, call_id, turn, result_turn, arguments, content, broken, coalesce(n_calls, 0) AS n_calls, coalesce(n_results, 0) AS n_results,
-         CASE WHEN n_calls IS NULL THEN 'no_call' WHEN n_results IS NULL THEN 'no_result' ELSE 'linked' END AS status
-  FROM calls FULL JOIN results USING (conv_id, call_id)
+  SELECT conv_id, call_id, turn, result_turn, kind, inside, cut, content, broken, topo, coalesce(n_calls, 0) AS n_calls, coalesce(n_results, 0) AS n_results,
+         CASE WHEN n_calls IS NULL THEN 'no_call' WHEN n_results IS NULL THEN 'no_result' WHEN kind = 4 THEN 'early_result' ELSE 'linked' END AS status,
+         n_calls IS NOT NULL AS called
+  FROM placed FULL JOIN results USING (conv_id, call_id)
+), told AS (
+  SELECT *, CASE WHEN NOT called OR kind = 3 THEN 'null' WHEN kind = 4 THEN '{' || inside || ',"rate":1,"seed":1.2345678901234567E49}' ELSE '{' || inside || '}' END AS arguments,
+         CASE WHEN NOT called OR kind NOT IN (3, 4) THEN '' ELSE ',"raw_arguments":' || CAST(to_json(CASE WHEN kind = 3 THEN cut ELSE cut || ',"seed":12345678901234567890123456789012345678901234567890,"rate":1.0}' END) AS varchar) END AS raw,
+         CASE WHEN NOT called THEN '' WHEN kind = 3 THEN 'json' ELSE concat_ws(',', CASE WHEN broken THEN 'type:chars' END, CASE WHEN broken THEN 'type:prompt' END, CASE WHEN kind = 4 THEN 'type:seed' END) END AS errors
+  FROM linked
 )
-SELECT conv_id, call_id, turn, result_turn, status, turn AS topo, n_calls, n_results,
-       CASE WHEN broken THEN 'type:chars,type:prompt' ELSE '' END AS errors,
-       '{"arguments":' || coalesce(arguments, 'null') || ',"call_id":"' || call_id || '","conv_id":' || conv_id || ',"name":' || CASE WHEN n_calls > 0 THEN '"reply"' ELSE 'null' END
+SELECT conv_id, call_id, turn, result_turn, status, topo, n_calls, n_results, errors,
+       '{"arguments":' || arguments || ',"call_id":"' || call_id || '","conv_id":' || conv_id || ',"name":' || CASE WHEN called THEN '"reply"' ELSE 'null' END || raw
        || ',"result":' || coalesce(CAST(to_json(content) AS varchar), 'null') || ',"status":"' || status || '","turn":' || coalesce(CAST(turn AS varchar), 'null') || '}' AS json
-FROM linked
+FROM told
+UNION ALL
+SELECT conv_id, NULL, turn, NULL, 'message', turn, 0, 0, '',
+       '{"content":' || coalesce(quoted, 'null') || ',"conv_id":' || coalesce(CAST(conv_id AS varchar), 'null') || ',"role":' || coalesce(CAST(to_json(role) AS varchar), 'null') || ',"turn":' || coalesce(CAST(turn AS varchar), 'null') || '}'
+FROM base WHERE role IS NULL OR role NOT IN ('user', 'assistant')
 """,
 }

@@ -79,13 +79,56 @@ def test_rollup_is_idempotent(spark, tmp_path):
     r.commit("b", rollup.revisions(counts.where("doc_id = 1"), new))
     r.commit("c", rollup.deletes(counts.where("doc_id = 3")))
     assert get() == {("a", "de", "v1"): (1, 7), ("a", None, "v1"): (1, 0)}
-    (tmp_path / "r" / "batch=broken").mkdir()
+    (tmp_path / "r" / "_new-broken").mkdir()
     assert get() == {("a", "de", "v1"): (1, 7), ("a", None, "v1"): (1, 0)} and r.batches() == ["batch=a%2F1", "batch=b", "batch=c"]
 
 
-def test_rollup_query_counts_all(spark):
-    rows = queries.op9_token_counts(spark, SF).collect()
-    assert sum(r["n_docs"] for r in rows) == spark.read.parquet(f"{SF}/documents.parquet").count()
+def test_rollup_compacts_and_names_are_taken_once(spark, tmp_path):
+    counts = spark.createDataFrame([("a", "en", "1", 5), ("b", "en", "1", 7)], "source string, lang string, tokenizer_version string, n_tokens long")
+    r = rollup.Rollup(spark, str(tmp_path / "r"))
+    get = lambda: sorted(tuple(x) for x in r.totals().collect())
+    r.compact()
+    for k in range(5):
+        assert r.commit(f"b{k}", rollup.inserts(counts))
+        if k % 2:
+            r.compact()
+            assert not r.commit(f"b{k}", rollup.inserts(counts)) and not r.commit("b0", rollup.inserts(counts))
+    assert get() == [("a", "en", "1", 5, 25), ("b", "en", "1", 5, 35)] and r.batches() == [f"batch=b{k}" for k in range(5)]
+    left = sorted(p.name for p in (tmp_path / "r").iterdir())
+    assert len(left) < 8 and not any(n.startswith("_new") for n in left)
+    # another driver that didn't see the batch when it began
+    late = rollup.Rollup(spark, str(tmp_path / "r"))
+    late.committed = lambda batch: False
+    assert not late.commit("b4", rollup.inserts(counts)) and get() == [("a", "en", "1", 5, 25), ("b", "en", "1", 5, 35)]
+
+
+def test_rollup_query_against_the_tokenizer(spark):
+    """Every text through the tokenizer itself, added up plainly."""
+    from collections import Counter
+
+    from tokenizers import Tokenizer
+
+    full = Tokenizer.from_file(queries.tokenizer_file("word_bpe_49k.json"))
+    n = lambda t: len(full.encode(t or "", add_special_tokens=False).ids)
+    docs, tokens = Counter(), Counter()
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        if r["doc_id"] % 10 == 3:
+            continue
+        new = r["doc_id"] % 10 == 7
+        text = r["text"] and f"{r['text'].strip(' ')} {r['text'].strip(' ')}" if new else r["text"]
+        key = (r["source"], r["lang"], "2" if new else "1")
+        docs[key] += 1
+        tokens[key] += n(text)
+    got = {tuple(r)[:3]: tuple(r)[3:] for r in queries.op9_token_counts(spark, SF).collect()}
+    assert got == {k: (docs[k], tokens[k]) for k in docs}
+
+
+def test_token_counts_edges(spark):
+    path = queries.tokenizer_file("word_bpe_49k.json")
+    df = spark.createDataFrame([(None, "one two", None, "s", 1), (1, None, "en", None, 2), (1, "", "en", None, 2), (2, "word " * 200_000, "en", "s", 3), (2, "word " * 200_000, "en", "s", 3)], "doc_id long, text string, lang string, source string, N_TOKENS int")
+    got = sorted(tuple(x) for x in ((r["doc_id"] or 0, r["source"] or "", r["lang"] or "", r["n_tokens"]) for r in rollup.token_counts(df, path, "v").collect()))
+    assert got == [(0, "s", "", 2), (1, "", "en", 0), (1, "", "en", 0), (2, "s", "en", 200_000), (2, "s", "en", 200_000)]
+    assert rollup.token_counts(df.limit(0), path, "v").count() == 0
 
 
 SCHEMAS = {"add": {"properties": {"a": {"type": "integer"}, "b": {"type": "number"}}, "required": ["a", "b"], "additionalProperties": False}, "say": {"properties": {"text": {"type": "string"}}, "required": []}}
@@ -100,7 +143,9 @@ def test_linking(spark):
         (2, 1, "assistant", call(c("p", "say", {}, ["q"]), c("q", "nope", {}, ["p"]))), (2, 0, "tool", told("p", "early")),
         (None, 5, "assistant", call(c("n", "say", {"text": 'quote " \n é'}))), (3, 1, "assistant", "no json tool_calls"), (3, 2, "tool", None), (3, 3, "user", ""),
     ]
-    got = {r["call_id"]: r for r in chat.link(*chat.parse_messages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")), SCHEMAS).collect()}
+    every = chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"STATUS": F.lit(1), "call_id": F.lit("clash")}), SCHEMAS).collect()
+    assert [json.loads(r["json"]) for r in sorted((r for r in every if r["status"] == "message"), key=lambda r: r["turn"])] == [{"content": t, "conv_id": 3, "role": r, "turn": n} for _, n, r, t in rows[-3:]]
+    got = {r["call_id"]: r for r in every if r["status"] != "message"}
     assert {k: r["status"] for k, r in got.items()} == {"x": "linked", "y": "linked", "gone": "no_call", "p": "early_result", "q": "no_result", "n": "no_result"}
     assert got["x"]["errors"] == [] and got["y"]["errors"] == ["extra:c", "missing:b", "type:a"] and got["q"]["errors"] == ["unknown_tool"] and got["p"]["errors"] == []
     assert got["y"]["topo"] < got["x"]["topo"] and got["p"]["topo"] is None
@@ -118,6 +163,49 @@ def test_linking_repeats_and_empty(spark):
     assert "Python" not in chat.link(calls, results, SCHEMAS)._jdf.queryExecution().toString()
 
 
+def test_arguments_lose_nothing(spark):
+    """What canonical JSON can't say stands beside it as it was said."""
+    texts = {"a": '{"b": 1.0}', "b": '{"b": 12345678901234567890123456789012345678901234567890}', "c": '{"b": 1, "b": 2}', "d": "{broken", "e": '{"z": "1.0 \\\\" 2.50 \\\\\\\\", "b": 25, "a": [1, {"y": null, "x": -0.5}]}', "f": None, "g": '{"z": "' + "x 1.0 " * 20000 + '"}'}
+    texts["e"] = texts["e"].replace("\\\\", "\\")
+    rows = [(1, 1, "assistant", json.dumps({"tool_calls": [{"id": k, "name": "say", "arguments": v} for k, v in texts.items()] + [{"name": "say", "arguments": {"b": 7}}]}))]
+    got = chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), SCHEMAS).collect()
+    lines = {r["call_id"]: json.loads(r["json"]) for r in got}
+    assert {k for k, x in lines.items() if "raw_arguments" in x} == {"b", "c", "d"} | ({"a"} if '"b":1.0' not in next(r["json"] for r in got if r["call_id"] == "a") else set())
+    assert all(lines[k]["raw_arguments"] == texts[k] for k in ("b", "c", "d")) and lines["d"]["arguments"] is None
+    assert lines["e"]["arguments"] == json.loads(texts["e"]) and lines["g"]["arguments"] == json.loads(texts["g"]) and list(lines["e"]["arguments"]) == ["a", "b", "z"]
+    assert lines[None]["arguments"] == {"b": 7} and lines[None]["status"] == "no_id"
+
+
+def test_orders_against_longest_paths(spark):
+    """Random dependencies with chains, diamonds, cycles and tails, against a plain search for longest paths."""
+    import random
+
+    rng = random.Random(7)
+    deps, rows = {}, []
+    for conv in [None, *range(12)]:
+        n = rng.randint(1, 25)
+        ids = [f"k{i}" for i in range(n)]
+        for i, c in enumerate(ids):
+            pool = ids[i + 1 :] if conv is None or conv % 3 else ids
+            d = rng.sample(pool, min(len(pool), rng.choice([0, 1, 1, 1, 2, 3] if i % 2 else [1])))
+            deps[conv, c] = set(d)
+            rows.append((conv, c, i, "say", "{}", [*d, "gone"]))
+    rows += [(99, f"c{i}", i, "say", "{}", [f"c{i + 1}"]) for i in range(3000)]
+    deps |= {(99, f"c{i}"): {f"c{i + 1}"} if i < 2999 else set() for i in range(3000)}
+    level = {}
+    for _ in range(3001):  # a call has its level once all it depends on have one
+        new = {k: max((level[k[0], d] + 1 for d in ds), default=0) for k, ds in deps.items() if k not in level and all((k[0], d) in level for d in ds)}
+        if not new:
+            break
+        level |= new
+    turn = {(r[0], r[1]): r[2] for r in rows}
+    odd = {c for (c, k), ds in deps.items() if any(turn[c, d] >= turn[c, k] for d in ds)}
+    calls = spark.createDataFrame(rows, "conv_id long, call_id string, turn long, name string, arguments string, depends_on array<string>")
+    results = spark.createDataFrame([], "conv_id long, call_id string, turn long, content string")
+    got = {(r["conv_id"], r["call_id"]): r["topo"] for r in chat.link(calls, results, SCHEMAS).collect()}
+    assert got == {k: level.get(k) if k[0] in odd else turn[k] for k in deps} and None in got.values() and len(odd) > 3
+
+
 def test_chat_query_equals_sql(spark):
     con = duckdb.connect()
     con.execute(f"create view conversations as select * from '{SF}/conversations.parquet'")
