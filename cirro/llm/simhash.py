@@ -319,8 +319,9 @@ def _verified(own: DataFrame, reps: DataFrame, groups: DataFrame, ws: list[str],
     total = found.agg(F.sum("n_shingles")).first()[0] or 0
     tasks = max(64, -(-total // block))
     held = found.join(sizes, "component").withColumn("part", F.when(F.col("parts") > 1, F.pmod("s0", F.col("parts"))).otherwise(0))
-    is_holder = own["doc_id"].eqNullSafe(found["h_id"]) & (own["t0"] == found["h_t0"]) & (own["t1"] == found["h_t1"])
-    texts = own.join(found, is_holder, "left_semi").groupBy("doc_id", "t0", "t1").agg(F.first("text").alias("text"))  # rows alike count once
+    keys = found.select("h_id", "h_t0", "h_t1")
+    is_holder = own["doc_id"].eqNullSafe(keys["h_id"]) & (own["t0"] == keys["h_t0"]) & (own["t1"] == keys["h_t1"])
+    texts = own.join(keys, is_holder, "left_semi").groupBy("doc_id", "t0", "t1").agg(F.first("text").alias("text"))  # rows alike count once
     sets = _sets(texts, shingle, len(ws), True).withColumnsRenamed({"s0": "r_s0", "s1": "r_s1"}).drop("doc_id", "t0", "t1")
     held = held.join(sets, (held["s0"] == sets["r_s0"]) & (held["s1"] == sets["r_s1"]))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
