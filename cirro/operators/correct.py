@@ -124,6 +124,21 @@ def apply_emos(fit: DataFrame, new: DataFrame, key: tuple[str, ...]) -> DataFram
     return j.withColumns({"mean": F.col("_c.intercept") + F.col("_c.slope") * F.col("forecast"), "sd": F.exp("_c.log_sd")}).drop("_c", *[f"_k_{k}" for k in key])
 
 
+def model_only_correct(obs: DataFrame, ten_metres: DataFrame | None = None, stable: Column | bool = False, cap: float = 3.0) -> DataFrame:
+    """Winds aloft that only models have, with tier: raw as they are, or, if the corrected and raw wind at 10 m are given
+    (site_id, datetime_utc, corrected, raw), rescaled with height and experimental. The height is in the variable's name; variables
+    without one and times without a wind at 10 m stay as they are.
+    """
+    if ten_metres is None:
+        return obs.withColumn("tier", F.lit("raw"))
+    w = ten_metres.groupBy(F.col("site_id").alias("_site"), F.col("datetime_utc").alias("_time")).agg(F.min(F.struct("corrected", "raw")).alias("_w"))
+    j = obs.join(w, (F.col("site_id") == F.col("_site")) & (F.col("datetime_utc") == F.col("_time")), "left")
+    height = F.regexp_extract("variable", "_([0-9]+)m$", 1).try_cast("double")
+    calm = stable if isinstance(stable, Column) else F.lit(bool(stable))
+    new = physics.profile_rescale(F.col("value"), height, F.col("_w.corrected"), F.col("_w.raw"), calm, cap=cap)
+    return j.withColumns({"value": F.coalesce(new, "value"), "tier": F.lit("experimental")}).select(*obs.columns, "tier")
+
+
 def training_summary(pairs: DataFrame, by: tuple[str, ...]) -> DataFrame:
     """by, overlap_months, n_pairs of training pairs."""
     span = (F.unix_micros(F.max("valid_time")) - F.unix_micros(F.min("valid_time"))) / 86400e6

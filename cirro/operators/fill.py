@@ -9,6 +9,7 @@ from cirro import registry
 from cirro.errors import EngineError
 from cirro.functions import physics
 from cirro.operators.qc import SERIES, series
+from cirro.operators.stations import donor_priority
 from cirro.operators.transfer import apply_transfer, fit_transfer
 
 MICRO_HOURS = 3
@@ -25,13 +26,18 @@ def gap_runs(obs: DataFrame) -> DataFrame:
     return run.withColumns({"gap_id": F.when(gap, F.col("_g")), "span_hours": F.when(gap, span)}).drop("_g")
 
 
+def _before_and_after(order: str = "datetime_utc") -> tuple[Window, Window]:
+    """The rows of a series up to the current one, and those from the last one back to it: frames that only grow, so each row is taken up once."""
+    own = Window.partitionBy(*SERIES)
+    return tuple(own.orderBy(c).rowsBetween(Window.unboundedPreceding, Window.currentRow) for c in (F.col(order), F.col(order).desc()))
+
+
 def interpolate(df: DataFrame, source: Column, out: str) -> DataFrame:
     """df with out: source, and where it is null a line by row number between its neighbours in the series; ends are held."""
     d = df.withColumn("_x", source).withColumn("_i", F.row_number().over(series()))
-    w = series()
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, Window.currentRow), w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    back, ahead = _before_and_after("_i")
     has = F.when(F.col("_x").isNotNull(), F.struct("_x", "_i"))
-    d = d.withColumns({"_p": F.last(has, True).over(back), "_n": F.first(has, True).over(ahead)})
+    d = d.withColumns({"_p": F.last(has, True).over(back), "_n": F.last(has, True).over(ahead)})
     line = F.col("_p._x") + (F.col("_i") - F.col("_p._i")) / F.nullif(F.col("_n._i") - F.col("_p._i"), F.lit(0)) * (F.col("_n._x") - F.col("_p._x"))
     return d.withColumn(out, F.coalesce(F.col("_x"), line, F.col("_p._x"), F.col("_n._x"))).drop("_x", "_i", "_p", "_n")
 
@@ -50,9 +56,8 @@ def fill_circular(obs: DataFrame) -> DataFrame:
 
 def fill_rain(obs: DataFrame) -> DataFrame:
     """Dry between dry neighbours, else the value before, else the one after, else dry."""
-    w = series()
-    left = F.last("value", True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    right = F.first("value", True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    back, ahead = _before_and_after()
+    left, right = F.last("value", True).over(back), F.last("value", True).over(ahead)
     return obs.withColumn("filled", F.coalesce(F.col("value"), F.when((left == 0) & (right == 0), 0.0), left, right, F.lit(0.0)))
 
 
@@ -132,9 +137,17 @@ def _on() -> Column:
     return (F.col("variable") == F.col("r_var")) & (F.col("datetime_utc") == F.col("r_time"))
 
 
+def pick_donor(donors: DataFrame) -> DataFrame:
+    """donors less all but one source for each variable: of those with a value the one of best rank (column rank, else the ladder's priority), then of first name."""
+    place = F.col("rank") if "rank" in donors.columns else donor_priority(F.col("source"))
+    best = donors.where("value is not null").groupBy(F.col("variable").alias("p_var")).agg(F.min(F.struct(place.alias("rank"), "source")).alias("p"))
+    # a row for each variable
+    return donors.join(F.broadcast(best), (F.col("variable") == F.col("p_var")) & (F.col("source") == F.col("p.source"))).select(*donors.columns)
+
+
 def fill_medium(obs: DataFrame, donor: DataFrame) -> DataFrame:
-    """Gaps from a donor, less its mean difference over common times; a donor without overlap as it is. The donor's source is named."""
-    d = obs.join(_first_match(donor, "_d"), _on(), "left")
+    """Gaps from the best donor of each variable, less its mean difference over common times; a donor without overlap as it is. The donor's source is named."""
+    d = obs.join(_first_match(pick_donor(donor), "_d"), _on(), "left")
     w = Window.partitionBy("site_id", "variable")
     both = F.col("value").isNotNull() & F.col("_d.value").isNotNull()
     offset = F.coalesce(F.avg(F.when(both, F.col("_d.value"))).over(w) - F.avg(F.when(both, F.col("value"))).over(w), F.lit(0.0))
@@ -170,4 +183,4 @@ def fill_tier(obs: DataFrame, donor: DataFrame | None = None, model: DataFrame |
     return d
 
 
-__all__ = ["apply_transfer", "fill_circular", "fill_derive", "fill_linear", "fill_macro", "fill_medium", "fill_micro", "fill_model_only", "fill_rain", "fill_tier", "fit_transfer", "gap_runs", "interpolate"]
+__all__ = ["apply_transfer", "fill_circular", "fill_derive", "fill_linear", "fill_macro", "fill_medium", "fill_micro", "fill_model_only", "fill_rain", "fill_tier", "fit_transfer", "gap_runs", "interpolate", "pick_donor"]

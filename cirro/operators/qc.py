@@ -133,18 +133,19 @@ def qc_solar(obs: DataFrame, latitude: Column | float, longitude: Column | float
     return _apply(obs, solar_rank(latitude, longitude))
 
 
-# Relations between variables of one time, in the order in which they are enforced (fixed values): id, left sides, relation, right side.
+CEILING = "clear_sky_ceiling"
+# Relations between variables of one time, in the order in which they are enforced (fixed values): left sides, relation, right side.
 RELATIONS = (
-    ("dewpoint_le_temperature", ("dewpoint_2m",), "le", "temperature_2m"),
-    ("rh_le_100", ("relative_humidity_2m",), "le", 100.0),
-    ("gusts_ge_speed", ("wind_gusts_10m",), "ge", "wind_speed_10m"),
-    ("radiation_le_ceiling", ("direct_radiation", "diffuse_radiation"), "le", "clear_sky_ceiling"),
+    (("dewpoint_2m",), "le", "temperature_2m"),
+    (("relative_humidity_2m",), "le", 100.0),
+    (("wind_gusts_10m",), "ge", "wind_speed_10m"),
+    (("direct_radiation", "diffuse_radiation"), "le", CEILING),
 )
 
 
 def _relation(columns: list[str], spec: tuple) -> Column | None:
     """Is the relation violated? None if a column lacks; nulls violate nothing."""
-    _, left, op, right = spec
+    left, op, right = spec
     if not {*left, *([right] if isinstance(right, str) else [])} <= set(columns):
         return None
     total = reduce(lambda a, b: a + b, map(F.col, left))
@@ -160,7 +161,7 @@ def consistency_flags(wide: DataFrame) -> DataFrame:
         bad = _relation(wide.columns, spec)
         if bad is not None:
             hit = hit | bad
-            for v in spec[1]:
+            for v in spec[0]:
                 flags[f"flag_{v}"] = F.when(bad, "suspect").otherwise(flags.get(f"flag_{v}", F.lit("ok")))
     return wide.withColumns(flags | {"violated": hit})
 
@@ -173,7 +174,7 @@ def enforce_consistency(wide: DataFrame) -> DataFrame:
         bad = _relation(out.columns, spec)
         if bad is None:
             continue
-        _, left, _, right = spec
+        left, _, right = spec
         bound = F.col(right) if isinstance(right, str) else F.lit(right)
         total = reduce(lambda a, b: a + b, map(F.col, left))
         new = {v: F.when(bad, bound if len(left) == 1 else F.col(v) * bound / F.nullif(total, F.lit(0.0))).otherwise(F.col(v)) for v in left}
@@ -181,25 +182,33 @@ def enforce_consistency(wide: DataFrame) -> DataFrame:
     return out
 
 
-def consistency_pass_long(long: DataFrame, keys: list[str]) -> DataFrame:
-    """The same over (variable, value) rows that share keys; one shuffle, no pivot and join back."""
-    names = sorted({v for _, left, _, right in RELATIONS for v in (*left, *([right] if isinstance(right, str) else []))})
+def consistency_pass_long(long: DataFrame, keys: list[str], site: tuple[float, float, float] | None = None, time: str = "datetime_utc") -> DataFrame:
+    """The same over (variable, value) rows that share keys; one shuffle, no pivot and join back.
+
+    The sky's ceiling is a variable of its own where there is such a row, else what a cloudless sky gives at the site (latitude, longitude,
+    elevation); without either radiation stays as it is.
+    """
+    names = sorted({v for left, _, right in RELATIONS for v in (*left, *([right] if isinstance(right, str) else []))})
     w = Window.partitionBy(*keys)
     wide = long.withColumns({n: F.max(F.when(F.col("variable") == n, F.col("value"))).over(w) for n in names})
+    if site is not None:
+        wide = wide.withColumn(CEILING, F.coalesce(CEILING, physics.clear_sky_irradiance(F.col(time), *site)))
     done = enforce_consistency(wide)
     new = F.coalesce(*[F.when(F.col("variable") == n, F.col(n)) for n in names], F.col("value"))
     return done.withColumn("value", new).select(*long.columns)
 
 
-def consistency_rank() -> Column:
-    """Rank by the relations of the row's own variable, over rows of one site, source and time."""
+def consistency_rank(site: tuple[float, float, float] | None = None) -> Column:
+    """Rank by the relations of the row's own variable, over rows of one site and time; radiation is held against the cloudless sky if the site (latitude, longitude, elevation) is known."""
     w = Window.partitionBy("site_id", "datetime_utc")
     at = lambda n: F.min_by(F.when(F.col("variable") == n, F.col("value")), F.when(F.col("variable") == n, F.struct("source", "value"))).over(w)
     out = F.lit(0)
-    for _, left, op, right in RELATIONS[:3]:
+    for left, op, right in RELATIONS:
         bound = at(right) if isinstance(right, str) else F.lit(right)
-        x = at(left[0])
-        out = F.when((F.col("variable") == left[0]) & F.coalesce(x > bound if op == "le" else x < bound, F.lit(False)), SUSPECT).otherwise(out)
+        if right == CEILING and site is not None:
+            bound = F.coalesce(bound, physics.clear_sky_irradiance(F.col("datetime_utc"), *site))
+        x = reduce(lambda a, b: a + b, map(at, left))
+        out = F.when(F.col("variable").isin(*left) & F.coalesce(x > bound if op == "le" else x < bound, F.lit(False)), SUSPECT).otherwise(out)
     return out
 
 
@@ -215,21 +224,21 @@ def rules_for(variable: str) -> list[str]:
     return sorted(rules)
 
 
-def run_rules(obs: DataFrame, donors: DataFrame | None = None, envelope: DataFrame | None = None, site: tuple[float, float] | None = None) -> DataFrame:
+def run_rules(obs: DataFrame, donors: DataFrame | None = None, envelope: DataFrame | None = None, site: tuple[float, float, float] | None = None) -> DataFrame:
     """obs with new flags and hits, an array of (rule, outcome) of what was found; all rules in one plan.
 
-    Step and persistence share one window; without donors, envelope or site their rules are left out.
+    site: latitude, longitude, elevation. Each variable has the rules that rules_for() names. Step and persistence share one window; without donors, envelope or site their rules are left out.
     """
     out = with_run_length(obs)
-    on = registry.class_of(F.col("variable")) != "intermittent"
-    ranks = {"range": range_rank(), "step": step_rank(), "persistence": F.when(on & (F.col("run_length") > PERSISTENCE_RUN), SUSPECT).otherwise(0), "consistency": consistency_rank()}
+    has = lambda rule: F.col("variable").isin([n for n in registry.variables() if rule in rules_for(n)])
+    ranks = {"range": range_rank(), "step": step_rank(), "persistence": F.when(has("persistence") & (F.col("run_length") > PERSISTENCE_RUN), SUSPECT).otherwise(0), "consistency": consistency_rank(site)}
     if site is not None:
-        ranks["solar"] = solar_rank(*site)
+        ranks["solar"] = solar_rank(*site[:2])
     out = out.withColumns({f"_{k}": r for k, r in ranks.items()})
     if donors is not None:
         c = donor_consensus(donors).withColumnsRenamed({"variable": "c_var", "datetime_utc": "c_time"})
         out = out.join(c, (F.col("variable") == F.col("c_var")) & (F.col("datetime_utc") == F.col("c_time")), "left")
-        out = out.withColumn("_spatial", F.when((F.col("mad") > 0) & (F.abs(F.col("value") - F.col("med")) / F.nullif("mad", F.lit(0.0)) > MAD_LIMIT), SUSPECT).otherwise(0))
+        out = out.withColumn("_spatial", F.when(has("spatial") & (F.col("mad") > 0) & (F.abs(F.col("value") - F.col("med")) / F.nullif("mad", F.lit(0.0)) > MAD_LIMIT), SUSPECT).otherwise(0))
     if envelope is not None:
         e = F.broadcast(envelope.select(F.col("variable").alias("e_var"), F.col("day_of_year").alias("e_day"), "p_low", "p_high"))
         out = out.join(e, (F.col("variable") == F.col("e_var")) & (F.dayofyear("datetime_utc") == F.col("e_day")), "left")
@@ -245,5 +254,14 @@ def log_of(ruled: DataFrame) -> DataFrame:
     return e.select("site_id", "datetime_utc", "variable", F.col("h.rule").alias("rule"), F.col("h.outcome").alias("outcome"), F.concat(F.col("h.rule"), F.lit(" rule")).alias("detail"))
 
 
+def skipped(obs: DataFrame, rules: dict[str, str]) -> DataFrame:
+    """Log rows, one for each site, variable and rule that couldn't be held against it: rules gives the reason. Stamped with the variable's first time."""
+    first = obs.groupBy("site_id", "variable").agg(F.min("datetime_utc").alias("datetime_utc"))
+    has = reduce(lambda a, b: a | b, [(F.col("rule") == k) & F.col("variable").isin([n for n in registry.variables() if k in rules_for(n)]) for k in rules], F.lit(False))
+    why = F.array(*[F.struct(F.lit(k).alias("rule"), F.lit(v).alias("why")) for k, v in rules.items()])
+    e = first.withColumn("s", F.explode(why)).select("site_id", "datetime_utc", "variable", F.col("s.rule").alias("rule"), F.lit("ok").alias("outcome"), F.concat(F.lit("skipped: "), F.col("s.why")).alias("detail"))
+    return e.where(has)
+
+
 def flag_wide(obs: DataFrame, variables: list[str]) -> DataFrame:
     return consistency_flags(widen_obs(obs, variables))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cirro.functions.physics import haversine_km
@@ -24,10 +24,14 @@ def dedup_by_identity(df: DataFrame, tie: str) -> DataFrame:
     return own.groupBy("_own").agg(F.min_by(F.struct(*rest), F.struct("distance_km", tie)).alias("r")).select("r.*")
 
 
+def donor_priority(source: Column) -> Column:
+    """A source's place on the ladder; sources that aren't on it come last."""
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv])[source], F.lit(5))
+
+
 def rank_donors(donors: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """donors (source, identity, distance_km) with priority and rank, each identity once (nearest, then higher priority), by priority and distance."""
-    p = F.coalesce(F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv])[F.col("source")], F.lit(5))
-    d = donors.withColumn("priority", p)
+    d = donors.withColumn("priority", donor_priority(F.col("source")))
     rest = d.columns
     own = F.coalesce(F.col("identity").cast("string"), F.concat(F.lit("\x00"), F.col("source")))
     once = d.groupBy(*by, own.alias("_own")).agg(F.min_by(F.struct(*[c for c in rest if c not in by]), F.struct("distance_km", "priority", "source")).alias("r")).select(*by, "r.*")

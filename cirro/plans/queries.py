@@ -5,18 +5,19 @@ Doubles are rounded to a few places on both sides, for sums differ in their orde
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cirro import registry, store
+from cirro import registry, sites, store
 from cirro.functions import physics
 from cirro.operators import aggregate, correct, fill, qc, reshape, stations, transfer, verify
-from cirro.plans import views
+from cirro.plans import serve, views
 from cirro.plans.views import FC_SQL, OBS1_SQL, OBSH_SQL, STATIONS_SQL, WIDE_SQL
 from cirro.schema import OBS, OBS_KEY
-from cirro.sources import vendors
+from cirro.sources import base, vendors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -24,6 +25,21 @@ VARS = ["temperature_2m", "wind_speed_10m", "precipitation", "relative_humidity_
 SITE = (-34.75, 148.2, 220.0)
 
 
+_NOW = dt.datetime(2026, 1, 1)
+
+
+def _sites(spark: SparkSession, sf: str) -> list[sites.Site]:
+    """The four sites that views.obs() has."""
+    return [sites.Site(f"site_{k}", *SITE, "UTC") for k in range(4)]
+
+
+def _stored(spark: SparkSession, sf: str) -> store.Store:
+    """A store of its own in the folder that executors share, with the half-hourly observations."""
+    s = store.Store(spark, store.scratch(spark))
+    s.write_obs(views.obs(spark, sf, True), _NOW, check=False)
+    return s
+
+
 def query(sql: str | None = None):
     def put(f):
         QUERIES[f.__name__] = f
@@ -313,8 +329,55 @@ def apply_qmap(spark, sf):
 @query(f"WITH {FC_SQL}, o AS (SELECT avg(forecast) - avg(observation) AS d FROM fc) SELECT l_orderkey, l_linenumber, round(forecast - d + 1e-9, 4) + 0.0 AS corrected FROM fc, o")
 def transfer_mean_bias(spark, sf):
     p = _pairs(spark, sf)
-    o = p.agg((F.avg("forecast") - F.avg("observation")).alias("d"))
-    return p.crossJoin(F.broadcast(o)).select("l_orderkey", "l_linenumber", r(F.col("forecast") - F.col("d"), 4).alias("corrected"))  # o is one row
+    return transfer.apply_transfer(_transfer(p, "mean_bias"), p.withColumn("value", F.col("forecast")), "corrected").select("l_orderkey", "l_linenumber", r("corrected", 4))
+
+
+def _transfer(p: DataFrame, method: str) -> dict:
+    """Pairs as two series on times of their own."""
+    time = F.timestamp_seconds(F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    series = lambda c: p.select(time.alias("datetime_utc"), F.lit("s").alias("source"), F.col(c).alias("value"))
+    return transfer.fit_transfer(series("forecast"), series("observation"), method)
+
+
+@query(f"""WITH {FC_SQL}, g AS (SELECT quantile_cont(forecast, {_PROBS}) AS xs, quantile_cont(observation, {_PROBS}) AS ys FROM fc), knots AS (SELECT k, xs[k + 1] AS x0, ys[k + 1] AS y0, xs[k + 2] AS x1, ys[k + 2] AS y1 FROM g, range(0, 101) q(k))
+  SELECT l_orderkey, l_linenumber, round(CASE WHEN x1 IS NULL OR x1 = x0 THEN y0 ELSE y0 + (forecast - x0) / (x1 - x0) * (y1 - y0) END + 1e-9, 3) + 0.0 AS corrected FROM fc JOIN knots ON forecast >= x0 AND (x1 IS NULL OR forecast < x1)""")
+def transfer_qmap(spark, sf):
+    p = _pairs(spark, sf)
+    return transfer.apply_transfer(_transfer(p, "qmap"), p.withColumn("value", F.col("forecast")), "corrected").select("l_orderkey", "l_linenumber", r("corrected", 3))
+
+
+@query(f"WITH {FC_SQL}, m AS (SELECT source, regr_slope(observation, forecast) AS b, regr_intercept(observation, forecast) AS a, var_pop(observation) AS vo, covar_pop(observation, forecast) AS cv FROM fc GROUP BY source) SELECT l_orderkey, l_linenumber, round(a + b * forecast + 1e-9, 4) + 0.0 AS mean, round(greatest(sqrt(greatest(vo - b * cv, 0)), 0.001) + 1e-9, 4) AS sd FROM fc JOIN m ON fc.source = m.source")
+def emos_apply(spark, sf):
+    p = _pairs(spark, sf)
+    return correct.apply_emos(correct.fit_emos(p, ("source",)), p, ("source",)).select("l_orderkey", "l_linenumber", r("mean", 4), r("sd", 4))
+
+
+@query("""WITH w AS (SELECT p_partkey, (p_partkey * 37) % 360 AS d, p_size / 2 AS s, (p_partkey % 7) - 3 AS bu, (p_partkey % 5) - 2 AS bv FROM part), c AS (SELECT *, -s * sin(radians(d)) AS u, -s * cos(radians(d)) AS v, CASE WHEN sqrt(bu * bu + bv * bv) > 1e-9 THEN atan2(-bu, -bv) ELSE 0 END AS a FROM w),
+  e AS (SELECT p_partkey, u * cos(a) - v * sin(a) AS x, u * sin(a) + v * cos(a) AS y FROM c) SELECT p_partkey, round(abs((degrees(atan2(-x, -y)) + 720) % 360 - 180) + 1e-9, 4) AS off_south FROM e""")
+def wind_direction_corrected(spark, sf):
+    k = F.col("p_partkey")
+    d = physics.correct_wind_direction((k * 37 % 360).cast("double"), F.col("p_size") / 2, (k % 7 - 3).cast("double"), (k % 5 - 2).cast("double"))
+    return t(spark, sf, "part").select("p_partkey", r(F.abs(d - 180), 4).alias("off_south"))
+
+
+@query("""WITH w AS (SELECT p_partkey, p_size * 1.0 AS s, [80, 120, 180][CAST(p_partkey % 3 + 1 AS INTEGER)] AS h, p_size * 0.8 AS c10, CASE WHEN p_partkey % 4 = 0 THEN 0.0 ELSE p_partkey % 11 END AS r10 FROM part)
+  SELECT p_partkey, round(CASE WHEN r10 = 0 THEN s ELSE s * greatest(1.0 / 3, least(3, 1 + (c10 / r10 - 1) * (10.0 / h))) END + 1e-9, 5) AS speed, 'experimental' AS tier FROM w""")
+def model_only_rescaled(spark, sf):
+    k, site = F.col("p_partkey"), F.col("p_partkey").cast("string").alias("site_id")
+    time = F.lit("2026-01-01").cast("timestamp").alias("datetime_utc")
+    p = t(spark, sf, "part")
+    o = p.select(site, time, F.concat(F.lit("wind_speed_"), F.get(F.array(*map(F.lit, (80, 120, 180))), (k % 3).cast("int")), F.lit("m")).alias("variable"), F.col("p_size").cast("double").alias("value"))
+    ten = p.select(site, time, (F.col("p_size") * 0.8).alias("corrected"), F.when(k % 4 == 0, 0.0).otherwise((k % 11).cast("double")).alias("raw"))
+    return correct.model_only_correct(o, ten).select(F.col("site_id").cast("long").alias("p_partkey"), r("value").alias("speed"), "tier")
+
+
+@query("""WITH n AS (SELECT l_orderkey, l_linenumber, unnest([{'v': 'temperature_2m', 'x': l_quantity * 1.0 - 20}, {'v': 'dewpoint_2m', 'x': l_tax * 500 - 10}, {'v': 'relative_humidity_2m', 'x': l_discount * 1100}, {'v': 'wind_speed_10m', 'x': l_quantity / 2}, {'v': 'wind_gusts_10m', 'x': l_tax * 300}]) AS c FROM lineitem),
+  w AS (SELECT *, c.v AS variable, c.x AS x, l_quantity * 1.0 - 20 AS tt, l_quantity / 2 AS ws FROM (SELECT n.*, l.l_quantity FROM n JOIN lineitem l USING (l_orderkey, l_linenumber)))
+  SELECT l_orderkey, l_linenumber, variable, round(CASE variable WHEN 'dewpoint_2m' THEN least(x, tt) WHEN 'relative_humidity_2m' THEN least(x, 100) WHEN 'wind_gusts_10m' THEN greatest(x, ws) ELSE x END + 1e-9, 5) + 0.0 AS value FROM w""")
+def consistency_long(spark, sf):
+    names = ["temperature_2m", "dewpoint_2m", "relative_humidity_2m", "wind_speed_10m", "wind_gusts_10m"]
+    long = views.wide_part(spark, sf).select("l_orderkey", "l_linenumber", *names).unpivot(["l_orderkey", "l_linenumber"], names, "variable", "value")
+    return qc.consistency_pass_long(long, ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "variable", r("value"))
 
 
 # bitemporal store
@@ -355,12 +418,12 @@ def forecast_dedup(spark, sf):
     return store.new_rows(f, f.where("l_orderkey % 2 = 0"), ("site_id", "source", "model", "issue_time")).select("l_orderkey", "l_linenumber", "site_id", "source", "model")
 
 
-@query("""WITH silo AS (SELECT CAST(o_orderdate AS DATE) AS day, 'precipitation' AS variable, avg(o_totalprice / 1000) AS value FROM orders GROUP BY 1), aws AS (SELECT CAST(l_shipdate AS DATE) AS day, 'precipitation' AS variable, avg(l_quantity) AS value FROM lineitem WHERE l_orderkey % 40 = 0 GROUP BY 1)
+@query("""WITH silo AS (SELECT CAST(o_orderdate AS DATE) AS day, 'precipitation' AS variable, avg(o_totalprice / 1000) AS value FROM orders GROUP BY 1), aws AS (SELECT CAST(l_shipdate AS DATE) AS day, 'precipitation' AS variable, avg(l_quantity) AS value FROM lineitem GROUP BY 1)
   SELECT day, variable, round(value + 1e-9, 4) AS value, 'aws' AS source FROM aws UNION ALL SELECT day, variable, round(value + 1e-9, 4), 'silo' FROM silo WHERE NOT EXISTS (SELECT 1 FROM aws WHERE aws.day = silo.day AND aws.variable = silo.variable)""")
 def history_daily_composite(spark, sf):
     silo = t(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.avg(F.col("o_totalprice") / 1000).alias("value")).select("day", F.lit("precipitation").alias("variable"), "value", F.lit("silo").alias("source"))
-    aws = t(spark, sf, "lineitem").where("l_orderkey % 40 = 0").groupBy(F.to_date("l_shipdate").alias("day")).agg(F.avg("l_quantity").alias("value")).select("day", F.lit("precipitation").alias("variable"), "value", F.lit("aws").alias("source"))
-    return aws.unionByName(silo.join(aws.select("day", "variable"), ["day", "variable"], "left_anti")).withColumn("value", r("value", 4))
+    aws = t(spark, sf, "lineitem").groupBy(F.to_date("l_shipdate").alias("day")).agg(F.avg("l_quantity").alias("value")).select("day", F.lit("precipitation").alias("variable"), "value", F.lit("aws").alias("source"))
+    return serve.own_or_interpolated(aws, silo).select("day", "variable", r("value", 4), "source")
 
 
 @query(f"WITH {FC_SQL} SELECT l_orderkey, l_linenumber, site_id, source, model, issue_time FROM fc QUALIFY issue_time = max(issue_time) OVER (PARTITION BY site_id, source, model)")
@@ -454,10 +517,8 @@ def rank_histogram(spark, sf):
 @query(f"WITH {_CASES}, h AS (SELECT 1 + len(list_filter(members, lambda x: x < truth)) AS rank, count(*) AS n, max(len(members)) AS m FROM c GROUP BY 1), b AS (SELECT max(m) + 1 AS bins, sum(n) / (max(m) + 1) AS mean FROM h) SELECT round((sum(n * n) - max(bins) * max(mean) * max(mean)) / max(mean) + 1e-9, 3) AS histogram_flatness FROM h, b")
 def histogram_flatness(spark, sf):
     c = _cases(spark, sf)
-    bins = c.groupBy((1 + F.size(F.filter("members", lambda x: x < F.col("truth")))).alias("rank")).agg(F.count(F.lit(1)).alias("n"), F.max(F.size("members")).alias("m"))
-    k = F.max("m") + 1
-    mean = F.sum("n") / k
-    return bins.agg(r((F.sum(F.col("n") * F.col("n")) - k * mean * mean) / mean, 3).alias("histogram_flatness"))
+    members = c.agg(F.max(F.size("members"))).first()[0] or 0
+    return verify.histogram_flatness(verify.rank_histogram(c), members).select(r("histogram_flatness", 3))
 
 
 @query(f"WITH {_CASES}, p AS (SELECT list_avg(members) AS m, list_var_samp(members) AS v, truth, len(members) AS k FROM c) SELECT round(sqrt((1 + 1 / max(k)) * avg(v)) / sqrt(avg(pow(m - truth, 2))) + 1e-9, 4) AS spread_error_ratio FROM p")
@@ -470,9 +531,9 @@ def brier(spark, sf):
     return t(spark, sf, "lineitem").groupBy("l_returnflag").agg(r(verify.brier(F.col("l_discount") * 10, F.col("l_tax") > 0.04)).alias("brier"))
 
 
-@query("WITH g AS (SELECT greatest(1, CAST(ceil((l_linenumber / 8) * 5) AS INTEGER)) AS bin, avg(l_linenumber / 8) AS mean_probability, avg(CAST(l_tax > 0.04 AS DOUBLE)) AS observed_frequency, count(*) AS n FROM lineitem WHERE l_linenumber <> 4 GROUP BY 1) SELECT CAST(b AS INTEGER) AS bin, round(mean_probability + 1e-9, 5) AS mean_probability, round(observed_frequency + 1e-9, 5) AS observed_frequency, coalesce(n, 0) AS n FROM range(1, 6) r(b) LEFT JOIN g ON bin = b")
+@query("WITH g AS (SELECT greatest(1, CAST(ceil((l_linenumber / 8) * 5) AS INTEGER)) AS bin, avg(l_linenumber / 8) AS mean_probability, avg(CAST(l_tax > 0.04 AS DOUBLE)) AS observed_frequency, count(*) AS n FROM lineitem GROUP BY 1) SELECT CAST(b AS INTEGER) AS bin, round(mean_probability + 1e-9, 5) AS mean_probability, round(observed_frequency + 1e-9, 5) AS observed_frequency, coalesce(n, 0) AS n FROM range(1, 6) r(b) LEFT JOIN g ON bin = b")
 def reliability(spark, sf):
-    d = t(spark, sf, "lineitem").where("l_linenumber <> 4").select((F.col("l_linenumber") / 8).alias("p"), (F.col("l_tax") > 0.04).alias("o"))
+    d = t(spark, sf, "lineitem").select((F.col("l_linenumber") / 8).alias("p"), (F.col("l_tax") > 0.04).alias("o"))
     return verify.reliability_table(d, "p", "o").select("bin", r("mean_probability"), r("observed_frequency"), "n")
 
 
@@ -638,13 +699,14 @@ def humidity(spark, sf):
 # parsing
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def parse_json_props(spark, sf):
-    return t(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k"))
+    return base.at_path(t(spark, sf, "events"), "props", "k").select("event_id", F.col("x").try_cast("long").alias("k"))
 
 
 @query("WITH n AS (SELECT p_partkey, 'temperature_2m_member' || lpad(CAST(p_partkey % 51 AS VARCHAR), 2, '0') AS name FROM part) SELECT p_partkey, regexp_extract(name, '^(.*)_member([0-9]+)$', 1) AS variable, CAST(regexp_extract(name, '^(.*)_member([0-9]+)$', 2) AS INTEGER) AS member FROM n")
 def parse_member_columns(spark, sf):
     name = F.concat(F.lit("temperature_2m_member"), F.lpad((F.col("p_partkey") % 51).cast("string"), 2, "0"))
-    return t(spark, sf, "part").select("p_partkey", F.regexp_extract(name, "^(.*)_member([0-9]+)$", 1).alias("variable"), F.regexp_extract(name, "^(.*)_member([0-9]+)$", 2).try_cast("int").alias("member"))
+    variable, member = vendors.member_of(name)
+    return t(spark, sf, "part").select("p_partkey", variable.alias("variable"), member.alias("member"))
 
 
 @query("SELECT p_partkey, round(p_size / 3.6 + 1e-9, 6) AS wind, round(p_size - 273.15 + 1e-9, 4) AS temperature, round(p_size / 0.0864 + 1e-9, 4) AS radiation FROM part")
@@ -653,20 +715,47 @@ def unit_conversion(spark, sf):
     return t(spark, sf, "part").select("p_partkey", r(registry.to_canonical(x, "km/h", "wind_speed_10m"), 6).alias("wind"), r(registry.to_canonical(x, "K", "temperature_2m"), 4).alias("temperature"), r(registry.to_canonical(x, "MJ/m2/day", "direct_radiation"), 4).alias("radiation"))
 
 
-@query("SELECT * FROM (VALUES ('temperature_2m', 'degC', -50.0::DOUBLE, 60.0::DOUBLE, 'linear')) v(variable, unit, min, max, statistical_class)")
+def _dictionary_sql() -> str:
+    """The built-in variables as they are declared; the query reads them back from the registry's table."""
+    text = lambda x: "NULL" if x is None else f"'{x}'"
+    number = lambda x: "NULL::DOUBLE" if x is None else f"{float(x)!r}::DOUBLE"
+    rows = ", ".join(f"({text(n)}, {text(v.unit)}, {number(v.min)}, {number(v.max)}, {text(v.statistical_class)}, {text(v.measurability_class)})" for n, v in registry.variables().items())
+    return f"SELECT * FROM (VALUES {rows}) v(variable, unit, min, max, statistical_class, measurability_class)"
+
+
+@query(_dictionary_sql())
 def dictionary(spark, sf):
-    return registry.dictionary(spark).where("variable = 'temperature_2m'").select("variable", "unit", "min", "max", "statistical_class")
+    return registry.dictionary(spark).select("variable", "unit", "min", "max", "statistical_class", "measurability_class")
 
 
-@query(f"WITH {OBSH_SQL}{_hourly_sql('o1')} {_pivot_sql('hourly')} HAVING site_id = 'site_1'")
+@query(f"WITH {OBSH_SQL}{_hourly_sql('o1')} {_pivot_sql('hourly')}")
 def met_wide_record(spark, sf):
-    hourly = aggregate.aggregate_hourly(views.obs(spark, sf, True)).where("site_id = 'site_1'")
-    return reshape.widen_obs(hourly, VARS).select("site_id", "datetime_utc", *map(r, VARS))
+    """Every site's observations go through a store of their own and come back as its wide table."""
+    s = _stored(spark, sf)
+    out = None
+    for site in _sites(spark, sf):
+        wide = serve.met_wide(s, site, (None, None), "record", VARS, _NOW).df.select(F.lit(site.site_id).alias("site_id"), F.col("time").alias("datetime_utc"), *map(r, VARS))
+        out = wide if out is None else out.unionByName(wide)
+    return out
+
+
+@query(f"WITH {OBSH_SQL} SELECT site_id, datetime_utc, variable, source, round(value + 1e-9, 5) + 0.0 AS value, qc_flag FROM o1")
+def store_round_trip(spark, sf):
+    """Observations written, written again (nothing new), compacted and read back."""
+    s = _stored(spark, sf)
+    s.write_obs(views.obs(spark, sf, True), _NOW, "supersede", check=False)
+    s.compact(["observations"])
+    return s.read_obs().select("site_id", "datetime_utc", "variable", "source", r("value"), "qc_flag")
+
+
+@query(f"WITH {OBSH_SQL}{_hourly_sql('o1')} SELECT site_id, datetime_utc, variable, source, round(value + 1e-9, 5) + 0.0 AS value FROM hourly")
+def met_history_hourly(spark, sf):
+    return serve.met_history(_stored(spark, sf), sites.Sites(_sites(spark, sf))).select("site_id", "datetime_utc", "variable", "source", r("value"))
 
 
 @query()
 def content_hash(spark, sf):
     from cirro.plans.table import column_hashes
 
-    wide = reshape.widen_obs(aggregate.aggregate_hourly(views.obs(spark, sf, True)).where("site_id = 'site_1'"), VARS).withColumnRenamed("datetime_utc", "time").drop("site_id")
+    wide = reshape.widen_obs(aggregate.aggregate_hourly(views.obs(spark, sf, True)), VARS).withColumnRenamed("datetime_utc", "time").drop("site_id")
     return column_hashes(wide)

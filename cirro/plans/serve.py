@@ -77,7 +77,7 @@ def correct_forecast(store: Store, site: Site, fc: DataFrame, now: dt.datetime)
     fitted = F.col("tier").isin(*registry.FITTED_TIERS)
     value = F.when(fitted, physics.shrink(F.col("corrected"), F.col("climatology"), F.coalesce("weight", F.lit(1.0)))).otherwise(F.col("corrected"))
     out = d.withColumn("value", value).select(*schema.FORECAST.names, "tier")
-    return qc.consistency_pass_long(out, ["site_id", "source", "model", "issue_time", "valid_time", "member", "stat"])
+    return qc.consistency_pass_long(out, ["site_id", "source", "model", "issue_time", "valid_time", "member", "stat"], (site.latitude, site.longitude, site.elevation), "valid_time")
 
 
 def correct_apply(store: Store, site: Site, source: str, target: str, now: dt.datetime, variables: list[str] | None = None, force_tier: str | None = None) -> DataFrame:
@@ -98,6 +98,11 @@ def history_hourly(store: Store, site: Site, start=None, end=None, at=None, vari
     return agg.aggregate_hourly(store.read_obs(site.site_id, variables, start, end, at=at))
 
 
+def own_or_interpolated(own: DataFrame, other: DataFrame, day: str = "day") -> DataFrame:
+    """own, and of other the variables and days that own hasn't."""
+    return own.unionByName(other.join(own.select("variable", day).distinct(), ["variable", day], "left_anti"))
+
+
 def history_daily(store: Store, site: Site, start=None, end=None, at=None, variables: list[str] | None = None, literal: bool = False) -> DataFrame:
     """Daily values of the station's own record, and of the interpolated daily source (silo, corrected) where there is none for the variable and local day.
 
@@ -111,8 +116,8 @@ def history_daily(store: Store, site: Site, start=None, end=None, at=None, varia
         own = agg.aggregate_daily(agg.aggregate_hourly(own), site.timezone)
     own = own.withColumn("tier", F.lit("raw"))
     # stamps are of nine o'clock or midnight, so the local date is the day
-    date = lambda df: df.withColumn("_day", F.to_date(F.from_utc_timestamp("datetime_utc", site.timezone)))
-    both = own.unionByName(date(silo).join(date(own).select("variable", "_day").distinct(), ["variable", "_day"], "left_anti").drop("_day"))
+    day = lambda df: df.withColumn("_day", F.to_date(F.from_utc_timestamp("datetime_utc", site.timezone)))
+    both = own_or_interpolated(day(own), day(silo), "_day").drop("_day")
     return qc.consistency_pass_long(both, ["site_id", "datetime_utc"]).orderBy("site_id", "variable", "datetime_utc")
 
 

@@ -54,8 +54,13 @@ class MetTable:
     def _with(self, df: DataFrame, provenance: dict | None = None) -> MetTable:
         return MetTable(df, provenance or self.provenance, self.keys, self.versions, self._hashes)
 
+    def _checked(self) -> MetTable:
+        """Before the hash is given up: a table that may have been changed since it was made is validated."""
+        return self if self._hashes is None else self.validate()
+
     def filter(self, condition: Column | str) -> MetTable:
-        return MetTable(self.df.where(condition), self.provenance, self.keys, self.versions)
+        own = self._checked()
+        return MetTable(own.df.where(condition), own.provenance, own.keys, own.versions)
 
     def order_by(self, *columns: str | Column) -> MetTable:
         return self._with(self.df.orderBy(*columns))
@@ -76,12 +81,13 @@ class MetTable:
 
     def union(self, other: MetTable) -> MetTable:
         """Rows of both; variables whose tiers differ become unverified."""
-        prov = dict(other.provenance) | dict(self.provenance)
-        for c in set(self.value_columns) & set(other.value_columns):
-            if self.provenance[c]["tier"] != other.provenance[c]["tier"]:
-                warn("tier_downgraded", f"{c}: {self.provenance[c]['tier']} and {other.provenance[c]['tier']}")
+        a, b = self._checked(), other._checked()
+        prov = dict(b.provenance) | dict(a.provenance)
+        for c in set(a.value_columns) & set(b.value_columns):
+            if a.provenance[c]["tier"] != b.provenance[c]["tier"]:
+                warn("tier_downgraded", f"{c}: {a.provenance[c]['tier']} and {b.provenance[c]['tier']}")
                 prov[c] = prov[c] | {"tier": UNVERIFIED}
-        return MetTable(self.df.unionByName(other.df, allowMissingColumns=True), prov, self.keys, self.versions)
+        return MetTable(a.df.unionByName(b.df, allowMissingColumns=True), prov, a.keys, a.versions)
 
     def validate(self) -> MetTable:
         """Columns whose values aren't those of the stored hash, or have none, become unverified."""

@@ -21,7 +21,8 @@ from cirro.store import Store
 QC_LOOKBACK, FILL_LOOKBACK = dt.timedelta(days=1), dt.timedelta(days=7)
 REFETCH, LIVE, ISSUES, BACKFILL = dt.timedelta(days=7), dt.timedelta(hours=6), dt.timedelta(days=3), dt.timedelta(days=3650)
 STEP, BUFFER = dt.timedelta(days=30), dt.timedelta(days=1)
-MISSED = {"forecast": "issued forecasts are not re-issued: a missed run stays missing", "ensemble": "members of a missed run are gone", "previous_runs": "earlier runs can still be fetched as previous runs"}
+#: Of each source, whether an issue that was missed can be had later.
+MISSED = {"bom_forecast": "issues that were missed can't be had again", "openmeteo": "issues that were missed can be had later as previous runs"}
 
 
 def for_each_site(sites: Site | Sites, work: Callable[[Site], dict | None], on_error: str = "isolate") -> list[dict]:
@@ -41,14 +42,18 @@ def qc_run(store: Store, site: Site, now: dt.datetime, donors: DataFrame | None
     """Rules over what came since the last run and a day before; changed rows supersede, findings go to the log."""
     mark = store.watermark(site.site_id, "qc")
     obs = store.read_obs(site.site_id, start=None if mark is None else mark - QC_LOOKBACK, end=now)
-    ruled = qc.run_rules(obs, donors, envelope, (site.latitude, site.longitude))
-    old = obs.select(*schema.OBS_KEY, F.col("qc_flag").alias("_old"))
-    changed = ruled.join(old, list(schema.OBS_KEY)).where("qc_flag <> _old").select(*schema.OBS.names, "hits")
-    log = qc.log_of(ruled)
-    n_log = log.count()
-    if n_log:
-        store.write_qc_log(log, now)
-    counts = store.write_obs(changed.select(*schema.OBS.names), now, "supersede", check=False)
+    # written beside the store once; counted, logged and merged from there
+    with store.side(qc.run_rules(obs, donors, envelope, (site.latitude, site.longitude, site.elevation))) as ruled:
+        lacking = {k: v for k, v, given in (("spatial", "no donors", donors), ("climatology", "no climatology yet", envelope)) if given is None}
+        log = qc.log_of(ruled)
+        if lacking:
+            log = log.unionByName(qc.skipped(ruled, lacking))
+        n_log = log.count()
+        if n_log:
+            store.write_qc_log(log, now)
+        old = obs.select(*schema.OBS_KEY, F.col("qc_flag").alias("_old"))
+        changed = ruled.join(old, list(schema.OBS_KEY)).where("qc_flag <> _old").select(*schema.OBS.names)
+        counts = store.write_obs(changed, now, "supersede", check=False)
     store.set_watermark(site.site_id, "qc", now)
     return {"n_flagged": counts["n_superseded"], "n_log_rows": n_log}
 
@@ -71,10 +76,14 @@ def acquire_obs(store: Store, source: Adapter, site: Site, window: tuple, now: d
     return check_fetch_result(source.fetch(store.spark, site, names, window, now), names)
 
 
+def missed_notes(sources: dict[str, Adapter] | list[str]) -> dict[str, str]:
+    return {s: MISSED.get(s, "not known whether issues that were missed can be had again") for s in sources}
+
+
 def archive_forecasts(store: Store, site: Site, sources: dict[str, Adapter], now: dt.datetime, missed: bool = False) -> dict:
     """Archives three days of issues of every source; missed=True only tells what can't be had again."""
     if missed:
-        return {"notes": list(MISSED.values())}
+        return {"notes": missed_notes(sources)}
     added = {}
     for name, a in sources.items():
         added[name] = store.write_forecast(a.fetch_forecast(store.spark, site, list(a.provides), (now - ISSUES, now + ISSUES), now))
@@ -165,14 +174,18 @@ def correct_refit(store: Store, site: Site, source: str, variable: str, now: dt.
         return {"variable": variable, "source": source, "action": "too_short"}
     held = [r for r in store.manifest(site.site_id) if (r["variable"], r["source"]) == (variable, source)]
     incumbent = max(held, key=lambda r: r["version"])["tier"] if held else "raw"
+    if tier == incumbent:
+        # the same fit scores the same on the same origins: no version without a win
+        return {"variable": variable, "source": source, "action": "kept", "tier": incumbent}
     errors = {}
-    for name in dict.fromkeys((tier, incumbent)):
+    for name in (tier, incumbent):
         d = verify.rolling_origin_errors(pairs.select("site_id", "issue_time", "valid_time", "forecast", "observation"), lambda f, n=name: correct.fit_tier(n, f), lambda m, f, n=name: correct.apply_tier(n, m, f), ("site_id",), STEP, BUFFER)
-        errors[name] = d.select("valid_time", F.abs("error").alias("e")).toPandas().groupby("valid_time")["e"].mean()  # a series
+        # a row for each valid time of one series
+        errors[name] = d.groupBy("valid_time").agg(F.avg(F.pow("error", 2)).alias("e")).toPandas().set_index("valid_time")["e"]
     both = pd.concat([errors[tier].rename("c"), errors[incumbent].rename("i")], axis=1).dropna().sort_index()
     mean, low, high, significant = verify.block_bootstrap((both["i"] - both["c"]).to_numpy(), 7, 500, 1)
-    promote = bool(len(both) and both["c"].mean() < both["i"].mean() and significant) and tier != incumbent or bool(len(both) and tier == incumbent)
-    if not promote:
+    rmse = np.sqrt(both.mean()) if len(both) else None
+    if rmse is None or not (rmse["c"] < rmse["i"] and significant):
         return {"variable": variable, "source": source, "action": "kept", "tier": incumbent}
     span = pairs.agg(F.min("valid_time").alias("a"), F.max("valid_time").alias("b")).first()
     fits = {"mean_bias": lambda: correct.fit_mean_bias(pairs, ()), "qmap": lambda: transfer.fit_qmap(pairs), "emos": lambda: correct.fit_emos(pairs.where("lead_bucket <> 'dNA'"), ())}
@@ -190,7 +203,7 @@ def verify_run(store: Store, site: Site, sources: list[str], now: dt.datetime) -
     rows = rows.unionByName(verify.score(clim, by, "climatology").withColumn("tier", F.lit("climatology")))
     done = serve._calibrated(store, site.site_id, pairs, "valid_time").where(F.col("tier").isin(*registry.FITTED_TIERS))
     rows = rows.unionByName(verify.score(done, (*by, "tier"), "corrected"))
-    store.write_report(rows.select(*schema.REPORT.names))
+    store.write_report(rows.select(*schema.REPORT.names), [site.site_id])
     members = store.read_forecast(site.site_id).where(F.col("source").isin(sources))
     store.write_diagnostics(verify.diagnostics(verify.ensemble_cases(members, store.read_obs(site.site_id))).select(*schema.DIAGNOSTICS.names))
     return store.read_report(site.site_id)
@@ -230,6 +243,6 @@ def met_backfill(store: Store, sites: Site | Sites, now: dt.datetime, config: di
         fill_run(store, site, now)
         met_refit(store, site, now, config)
         cover = {r["variable"]: r["coverage"] for r in stations.station_coverage(store.read_obs(site.site_id), *window).collect()}  # a row for each variable
-        return {"coverage": cover, "notes": list(MISSED.values())}
+        return {"coverage": cover, "notes": missed_notes(config.get("forecast_sources") or list(MISSED))}
 
     return for_each_site(sites, work, on_error="stop")

@@ -87,14 +87,20 @@ def _canonical(long: DataFrame, site: Site, source_id: str, method: str = "measu
     return long.withColumns({k: v for k, v in fixed.items() if k not in long.columns})
 
 
+def at_path(df: DataFrame, body: str, path: str, array: bool = False) -> DataFrame:
+    """df with x: what the JSON in body has at a slash-separated path, as text or as an array of texts; null where it isn't there."""
+    x = F.get_json_object(body, "$." + path.replace("/", "."))
+    return df.withColumn("x", F.from_json(x, "array<string>") if array else x)
+
+
 def apply_json(spark: SparkSession, body: str, mapping: Mapping, site: Site, source_id: str) -> DataFrame:
     """Parallel arrays at slash-separated paths become long rows; a path that isn't there gives none."""
     df = spark.createDataFrame([(body,)], "body string")
-    at = lambda path: F.from_json(F.get_json_object("body", "$." + path.replace("/", ".")), "array<string>")
     parts = []
     for v in mapping.variables:
         value = registry.to_canonical(F.col("z.x").try_cast("double"), v["unit"], v["variable"])
-        z = df.select(at(mapping.time["path"]).alias("t"), at(v["path"]).alias("x")).where("x is not null").select(F.explode(F.arrays_zip("t", "x")).alias("z"))
+        times = at_path(df, "body", mapping.time["path"], True).withColumnRenamed("x", "t")
+        z = at_path(times, "body", v["path"], True).where("x is not null").select(F.explode(F.arrays_zip("t", "x")).alias("z"))
         parts.append(z.where("z.t is not null").select(F.col("z.t").alias("_raw_time"), parse_time(F.col("z.t"), mapping.time["tz"]).alias("datetime_utc"), F.lit(v["variable"]).alias("variable"), value.alias("value")))
     out = parts[0]
     for p in parts[1:]:

@@ -72,6 +72,12 @@ def openmeteo_obs(spark: SparkSession, body: str, site: Site, source_id: str) ->
     return d.withColumnRenamed("time", "datetime_utc").withColumns(fixed).select(*schema.OBS.names)
 
 
+def member_of(name: Column) -> tuple[Column, Column]:
+    """Variable and member of a column's name; a name without one is the variable."""
+    number = F.regexp_extract(name, r"^(.*)_member([0-9]+)$", 2)
+    return F.when(number != "", F.regexp_extract(name, r"^(.*)_member([0-9]+)$", 1)).otherwise(name), F.when(number != "", number.try_cast("int"))
+
+
 def openmeteo_forecast(spark: SparkSession, body: str, product: str, site: Site, source_id: str, model: str | None, now: dt.datetime) -> DataFrame:
     """Canonical forecasts of any product: plain, members, earlier runs, history without lead, seasonal."""
     d = _block(spark, body, "daily" if product == "seasonal" else "hourly")
@@ -79,9 +85,7 @@ def openmeteo_forecast(spark: SparkSession, body: str, product: str, site: Site,
     issue, member, stat, name = F.lit(now).cast("timestamp"), null.cast("int"), null.cast("string"), F.col("name")
     lead = _lead(F.col("time"), issue)
     if product in ("ensemble", "seasonal"):
-        number = F.regexp_extract("name", r"^(.*)_member([0-9]+)$", 2)
-        member = F.when(number != "", number.try_cast("int"))
-        name = F.when(number != "", F.regexp_extract("name", r"^(.*)_member([0-9]+)$", 1)).otherwise(F.col("name"))
+        name, member = member_of(F.col("name"))
     if product == "seasonal":
         tail = F.regexp_extract("name", f"^(.*)_({'|'.join(STATS)})$", 2)
         stat = F.when(tail != "", tail)

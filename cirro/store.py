@@ -9,10 +9,13 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from urllib.parse import quote
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,6 +71,20 @@ def new_rows(incoming: DataFrame, stored: DataFrame, key: tuple[str, ...]) -> Da
     return incoming.join(have, [F.col(c).eqNullSafe(F.col(f"_h_{c}")) for c in key], "left_anti")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A fresh folder below spark.checkpoint.dir, which executors share; on one machine a temporary one where that is unset. It goes with the session."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.gettempdir()
+    path = f"{root.rstrip('/')}/cirro-store-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -99,7 +116,7 @@ class Store:
             stream.close()
 
     def _write_text(self, path: str, text: str) -> None:
-        """Through a temporary file in the same folder and a rename."""
+        """Through a temporary file in the same folder and a rename over the old one: readers see the one or the other."""
         p, fs = self._fs(path)
         tmp, _ = self._fs(f"{path}.{uuid.uuid4().hex}.tmp")
         out = fs.create(tmp, True)
@@ -107,8 +124,11 @@ class Store:
             out.write(bytearray(text.encode()))
         finally:
             out.close()
-        fs.delete(p, False)
-        fs.rename(tmp, p)
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), self._conf)
+        rename = getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename")
+        over = self.spark.sparkContext._gateway.new_array(rename, 1)
+        over[0] = rename.OVERWRITE
+        context.rename(tmp, p, over)
 
     # reads
     def table(self, table: str) -> DataFrame:
@@ -209,8 +229,8 @@ class Store:
         merged = self.spark.read.parquet(side)
         counts = {r["action"]: r["count"] for r in merged.groupBy("action").count().collect()}
         if counts.get("new") or counts.get("superseded"):
-            w = Window.partitionBy("site_id", "year")
-            dirty = merged.withColumn("_d", F.max((F.col("action").isin("new", "superseded")).cast("int")).over(w)).where("_d = 1")
+            changed = merged.where(F.col("action").isin("new", "superseded")).select("site_id", "year").distinct()
+            dirty = merged.join(changed, ["site_id", "year"], "left_semi")
             dirty.select(*SCHEMAS["observations"].names).write.partitionBy("site_id", "year").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(self.path("observations"))
         p, fs = self._fs(side)
         fs.delete(p, True)
@@ -246,9 +266,24 @@ class Store:
     def write_transport(self, rows: DataFrame, now: dt.datetime) -> None:
         self._append(rows.withColumn("ingested_at", F.lit(now).cast("timestamp")), "obs_transport")
 
-    def write_report(self, report: DataFrame) -> None:
-        """Replaces the report of every site that it has."""
+    def write_report(self, report: DataFrame, sites: list[str] | None = None) -> None:
+        """Replaces the report of every site that it has, and of those named: one that has no rows loses its old ones."""
         self._replace_partitions(report, "verification")
+        if sites:
+            for site_id in set(sites) - {r["site_id"] for r in report.select("site_id").where(F.col("site_id").isin(sites)).distinct().collect()}:
+                p, fs = self._fs(f"{self.path('verification')}/site_id={quote(site_id, safe='')}")
+                fs.delete(p, True)
+
+    @contextmanager
+    def side(self, df: DataFrame) -> Iterator[DataFrame]:
+        """df, written once beside the tables and removed afterwards, whatever happens."""
+        path = f"{self.root}/_side/{uuid.uuid4().hex}"
+        try:
+            df.write.parquet(path)
+            yield self.spark.read.schema(df.schema).parquet(path)
+        finally:
+            p, fs = self._fs(path)
+            fs.delete(p, True)
 
     def write_diagnostics(self, rows: DataFrame) -> None:
         self._replace_partitions(rows, "verification_diagnostics")
