@@ -326,21 +326,23 @@ def apply_qmap(spark, sf):
     return transfer.apply_qmap(transfer.fit_qmap(p, ("source",)), p, ("source",)).select("l_orderkey", "l_linenumber", r("corrected", 3))
 
 
-@query(f"WITH {FC_SQL}, o AS (SELECT avg(forecast) - avg(observation) AS d FROM fc) SELECT l_orderkey, l_linenumber, round(forecast - d + 1e-9, 4) + 0.0 AS corrected FROM fc, o")
+_SERIES_SQL = f"{FC_SQL}, d AS (SELECT min(forecast) AS f, min(observation) AS o FROM fc GROUP BY valid_time)"
+
+
+@query(f"WITH {_SERIES_SQL}, o AS (SELECT avg(f) - avg(o) AS d FROM d) SELECT l_orderkey, l_linenumber, round(forecast - d + 1e-9, 4) + 0.0 AS corrected FROM fc, o")
 def transfer_mean_bias(spark, sf):
     p = _pairs(spark, sf)
     return transfer.apply_transfer(_transfer(p, "mean_bias"), p.withColumn("value", F.col("forecast")), "corrected").select("l_orderkey", "l_linenumber", r("corrected", 4))
 
 
 def _transfer(p: DataFrame, method: str) -> dict:
-    """Pairs as two series on times of their own."""
-    time = F.timestamp_seconds(F.col("l_orderkey") * 8 + F.col("l_linenumber"))
-    series = lambda c: p.select(time.alias("datetime_utc"), F.lit("s").alias("source"), F.col(c).alias("value"))
+    """Forecasts and observations as two series, at each valid time the lowest of each."""
+    series = lambda c: p.select(F.col("valid_time").alias("datetime_utc"), F.lit("s").alias("source"), F.col(c).alias("value"))
     return transfer.fit_transfer(series("forecast"), series("observation"), method)
 
 
-@query(f"""WITH {FC_SQL}, g AS (SELECT quantile_cont(forecast, {_PROBS}) AS xs, quantile_cont(observation, {_PROBS}) AS ys FROM fc), knots AS (SELECT k, xs[k + 1] AS x0, ys[k + 1] AS y0, xs[k + 2] AS x1, ys[k + 2] AS y1 FROM g, range(0, 101) q(k))
-  SELECT l_orderkey, l_linenumber, round(CASE WHEN x1 IS NULL OR x1 = x0 THEN y0 ELSE y0 + (forecast - x0) / (x1 - x0) * (y1 - y0) END + 1e-9, 3) + 0.0 AS corrected FROM fc JOIN knots ON forecast >= x0 AND (x1 IS NULL OR forecast < x1)""")
+@query(f"""WITH {_SERIES_SQL}, g AS (SELECT quantile_cont(f, {_PROBS}) AS xs, quantile_cont(o, {_PROBS}) AS ys FROM d), knots AS (SELECT k, xs[k + 1] AS x0, ys[k + 1] AS y0, xs[k + 2] AS x1, ys[k + 2] AS y1 FROM g, range(0, 101) q(k))
+  SELECT l_orderkey, l_linenumber, round(CASE WHEN x1 IS NULL OR x1 = x0 OR forecast < x0 THEN y0 ELSE y0 + (forecast - x0) / (x1 - x0) * (y1 - y0) END + 1e-9, 3) + 0.0 AS corrected FROM fc JOIN (SELECT CASE WHEN k = 0 THEN -1e300 ELSE x0 END AS low, * FROM knots) ON forecast >= low AND (x1 IS NULL OR forecast < x1)""")
 def transfer_qmap(spark, sf):
     p = _pairs(spark, sf)
     return transfer.apply_transfer(_transfer(p, "qmap"), p.withColumn("value", F.col("forecast")), "corrected").select("l_orderkey", "l_linenumber", r("corrected", 3))
@@ -371,13 +373,13 @@ def model_only_rescaled(spark, sf):
     return correct.model_only_correct(o, ten).select(F.col("site_id").cast("long").alias("p_partkey"), r("value").alias("speed"), "tier")
 
 
-@query("""WITH n AS (SELECT l_orderkey, l_linenumber, unnest([{'v': 'temperature_2m', 'x': l_quantity * 1.0 - 20}, {'v': 'dewpoint_2m', 'x': l_tax * 500 - 10}, {'v': 'relative_humidity_2m', 'x': l_discount * 1100}, {'v': 'wind_speed_10m', 'x': l_quantity / 2}, {'v': 'wind_gusts_10m', 'x': l_tax * 300}]) AS c FROM lineitem),
-  w AS (SELECT *, c.v AS variable, c.x AS x, l_quantity * 1.0 - 20 AS tt, l_quantity / 2 AS ws FROM (SELECT n.*, l.l_quantity FROM n JOIN lineitem l USING (l_orderkey, l_linenumber)))
-  SELECT l_orderkey, l_linenumber, variable, round(CASE variable WHEN 'dewpoint_2m' THEN least(x, tt) WHEN 'relative_humidity_2m' THEN least(x, 100) WHEN 'wind_gusts_10m' THEN greatest(x, ws) ELSE x END + 1e-9, 5) + 0.0 AS value FROM w""")
+@query("""WITH w AS (SELECT o_orderkey, unnest(['temperature_2m', 'dewpoint_2m', 'relative_humidity_2m', 'wind_speed_10m', 'wind_gusts_10m']) AS variable, o_custkey % 40 - 10 AS tt, o_orderkey % 50 - 15 AS td, o_orderkey % 130 AS rh, o_custkey % 20 AS ws, o_orderkey % 30 AS wg FROM orders)
+  SELECT o_orderkey, variable, CAST(CASE variable WHEN 'temperature_2m' THEN tt WHEN 'dewpoint_2m' THEN least(td, tt) WHEN 'relative_humidity_2m' THEN least(rh, 100) WHEN 'wind_speed_10m' THEN ws ELSE greatest(wg, ws) END AS DOUBLE) AS value FROM w""")
 def consistency_long(spark, sf):
-    names = ["temperature_2m", "dewpoint_2m", "relative_humidity_2m", "wind_speed_10m", "wind_gusts_10m"]
-    long = views.wide_part(spark, sf).select("l_orderkey", "l_linenumber", *names).unpivot(["l_orderkey", "l_linenumber"], names, "variable", "value")
-    return qc.consistency_pass_long(long, ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "variable", r("value"))
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    values = {"temperature_2m": c % 40 - 10, "dewpoint_2m": k % 50 - 15, "relative_humidity_2m": k % 130, "wind_speed_10m": c % 20, "wind_gusts_10m": k % 30}
+    wide = t(spark, sf, "orders").select("o_orderkey", *[x.cast("double").alias(n) for n, x in values.items()])
+    return qc.consistency_pass_long(wide.unpivot(["o_orderkey"], list(values), "variable", "value"), ["o_orderkey"]).select("o_orderkey", "variable", "value")
 
 
 # bitemporal store
