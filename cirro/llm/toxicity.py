@@ -49,12 +49,18 @@ def sentences(text: str | None) -> list[str]:
     return [s for s in _SENTENCE.split(text or "") if s]
 
 
+_LONG = (1).__lt__
+
+
 def _words(sentence: str) -> list[str]:
     """Lower-cased words without punctuation at their ends, runs of single characters joined."""
+    tokens = sentence.split()
+    ws = [t if t.isalnum() else _EDGE.sub("", t) for t in tokens]
+    if all(map(_LONG, map(len, ws))):
+        return ws
     out: list[str] = []
     run = ""
-    for token in sentence.split():
-        w = token if token.isalnum() else _EDGE.sub("", token)
+    for w in ws:
         if len(w) == 1:
             run += w
             continue
@@ -69,7 +75,7 @@ def _words(sentence: str) -> list[str]:
 
 
 def windows(text: str | None) -> tuple[set[str], set[str]]:
-    """The words and the pairs of neighbouring words of a text's sentences; ^ and $ mark ends. Accents are left out."""
+    """The words, with ^ and $ for their ends, and the pairs of neighbouring words of a text's sentences. Accents are left out."""
     text = (text or "").lower()
     if not text.isascii():
         text = _ACCENTS.sub("", unicodedata.normalize("NFKD", text))
@@ -78,19 +84,25 @@ def windows(text: str | None) -> tuple[set[str], set[str]]:
     for sentence in sentences(text):
         ws = _words(sentence)
         one.update(ws)
-        two.update(zip(ws, ws[1:], strict=False))
-    words: set[str] = set()
-    for w in one:
-        if len(w) <= LONGEST:
-            words.add(f"^{w}$")
-        else:
-            words.update(w[at : at + LONGEST] for at in range(0, len(w) - OVERLAP, LONGEST - OVERLAP))
-    half = LONGEST // 2
-    return words, {f"^{a} {b}$" if len(a) + len(b) < LONGEST else f"{a[-half:]} {b[:half]}" for a, b in two}
+        two.update(map(" ".join, zip(ws, ws[1:], strict=False)))
+    long = [w for w in one if len(w) > LONGEST]
+    words = {f"^{w}$" for w in one.difference(long)} if long else {f"^{w}$" for w in one}
+    for w in long:
+        words.update(w[at : at + LONGEST] for at in range(0, len(w) - OVERLAP, LONGEST - OVERLAP))
+    return words, two
+
+
+def _marked(pair: str) -> str:
+    """A pair as a unit; of a long one the inner ends."""
+    if len(pair) <= LONGEST:
+        return f"^{pair}$"
+    a, b = pair.split(" ")
+    return f"{a[-LONGEST // 2:]} {b[:LONGEST // 2]}"
 
 
 def units(text: str | None) -> set[str]:
-    return set().union(*windows(text))
+    words, pairs = windows(text)
+    return words.union(map(_marked, pairs))
 
 
 def _table() -> np.ndarray:
@@ -188,13 +200,28 @@ class Model:
             out[at : at + len(part)] += np.bincount(unit, weights=weight * self.weights[sub], minlength=len(part))
         return out
 
-    def bounds(self, us: list[str]) -> np.ndarray:
-        """What margins() of each unit can be at most; units of one space at most."""
-        lengths = np.fromiter(map(len, us), dtype=np.int64, count=len(us))
+    def bounds(self, us: Sequence[str]) -> np.ndarray:
+        """What margins() of each unit can be at most; units of one space at most. Some at a time, for memory's sake."""
+        out = np.full(len(us), self.bias)
+        for at in range(0, len(us), PAIRS):
+            part = us[at : at + PAIRS]
+            space = np.fromiter((u.find(" ") for u in part), dtype=np.int64, count=len(part))
+            lengths = np.fromiter(map(len, part), dtype=np.int64, count=len(part))
+            out[at : at + len(part)] = self._bounds(_codes("".join(part)), lengths, np.where(space < 0, lengths, space))
+        return out
+
+    def pair_bounds(self, pairs: list[str]) -> np.ndarray:
+        """bounds() of pairs that bear no marks yet; long ones get the highest bound there is."""
+        c = _codes(f"^{'$^'.join(pairs)}$")
+        lengths = np.fromiter(map(len, pairs), dtype=np.int64, count=len(pairs)) + 2
+        space = np.flatnonzero(c == SPACE) - (np.cumsum(lengths) - lengths)
+        long = lengths > LONGEST + 2
+        return np.where(long, np.inf, self._bounds(c, lengths, np.where(long, 0, space), ~long))
+
+    def _bounds(self, c: np.ndarray, lengths: np.ndarray, space: np.ndarray, known: np.ndarray | bool = True) -> np.ndarray:
         stops = np.cumsum(lengths)
         starts = stops - lengths
-        c = _codes("".join(us))
-        n, total = len(c), np.zeros(len(us))
+        n, total = len(c), np.zeros(len(lengths))
         pair = {j: c[: n - j] * CODES + c[j:] for j in range(1, SPAN)} if n > SPAN else {}
         weights = self.seen
         for k in range(2, SPAN) if pair else ():
@@ -203,8 +230,7 @@ class Model:
                 got += weights.take(pair[j][: n - k] * CODES + c[k:])
             run = np.concatenate([[0.0], np.cumsum(got, dtype=np.float64)])
             total += LAMBDA ** (k - 2) * (run[np.maximum(stops - k, starts).clip(max=n - k)] - run[starts.clip(max=n - k)])
-        space = np.fromiter((u.find(" ") for u in us), dtype=np.int64, count=len(us))
-        return np.maximum(total, 0) / _least_norms()[lengths, np.where(space < 0, lengths, space)] + self.bias + 1e-6
+        return np.maximum(total, 0) / _least_norms()[np.where(known, lengths, 0), np.where(known, space, 0)] + self.bias + 1e-6
 
     @cached_property
     def seen(self) -> np.ndarray:
@@ -338,7 +364,7 @@ def _sigmoid(features: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, float
     return w[:-1], float(w[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, max_windows: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, max_windows: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model from at most max_docs labelled documents (the bound), half of each label, those of least hash, none of them held out.
 
     Their sentences become sets of windows on the executors; the driver gets those sets, of a document with more than
@@ -387,8 +413,8 @@ class Scorer:
             of = np.repeat(np.arange(at, to), [len(p) for _, p in found[at:to]])
             for lo in range(0, len(pairs), PAIRS):
                 part, own = pairs[lo : lo + PAIRS], of[lo : lo + PAIRS]
-                above = np.flatnonzero(self.model.bounds(part) > worst[own])
-                np.maximum.at(worst, own[above], self.model.margins([part[i] for i in above]))
+                above = np.flatnonzero(self.model.pair_bounds(part) > worst[own])
+                np.maximum.at(worst, own[above], self.model.margins([_marked(part[i]) for i in above]))
             at = to
         return self.model.probability(np.array([self.model.worst(x, p) for x, p in zip(margins, worst, strict=True)]).reshape(-1, 3))
 
