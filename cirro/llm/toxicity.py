@@ -18,6 +18,7 @@ text's worst word are scored exactly.
 from __future__ import annotations
 
 import re
+import string
 import sys
 import unicodedata
 import zlib
@@ -38,9 +39,10 @@ LAMBDA, SPAN = 0.6, 6
 PAIRS = 100_000
 POWER, WEIGHT = 1.0, 0.05  # documents that have a window count by this power; all toxic windows together weigh so much of the clean ones
 LONGEST, OVERLAP = 40, 8  # longer units are cut into parts that overlap
-CODES, SPACE = 96, 95
+CODES, SPACE = 64, 63
 _SENTENCE = re.compile(r"(?<=[.!?])[ \t\n\x0b\f\r]+|\n")
 _ACCENTS = re.compile("[\u0300-\u036f]+")
+_MARKS = string.punctuation
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _GAPS = [(j, k) for k in range(2, SPAN) for j in range(1, k)]
 
@@ -52,10 +54,16 @@ def sentences(text: str | None) -> list[str]:
 _LONG = (1).__lt__
 
 
+def _bare(token: str) -> str:
+    """token without what is neither letter nor digit at its ends."""
+    w = token.strip(_MARKS)
+    return w if not w or (w[0].isalnum() and w[-1].isalnum()) else _EDGE.sub("", w)
+
+
 def _words(sentence: str) -> list[str]:
     """Lower-cased words without punctuation at their ends, runs of single characters joined."""
     tokens = sentence.split()
-    ws = [t if t.isalnum() else _EDGE.sub("", t) for t in tokens]
+    ws = [t if t.isalnum() else _bare(t) for t in tokens]
     if all(map(_LONG, map(len, ws))):
         return ws
     out: list[str] = []
@@ -106,9 +114,9 @@ def units(text: str | None) -> set[str]:
 
 
 def _table() -> np.ndarray:
-    """Codes of the characters below 128: a-z, digits, ^ and $ have codes of their own, other characters share 57, the space is none of them."""
+    """Codes of the characters below 128: a-z, digits, ^ and $ have codes of their own, other characters share 25, the space is none of them."""
     o = np.arange(128)
-    code = 38 + o % 57
+    code = 38 + o % 25
     code = np.where((o >= 97) & (o <= 122), o - 97, code)
     code = np.where((o >= 48) & (o <= 57), o - 48 + 26, code)
     code[[94, 36, 32]] = 36, 37, SPACE
@@ -122,7 +130,7 @@ def _codes(text: str) -> np.ndarray:
     if text.isascii():
         return _LOW[np.frombuffer(text.encode(), dtype=np.uint8)]
     o = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
-    return np.where(o < 128, _LOW[np.minimum(o, 127)], 38 + o % 57).astype(np.int32)
+    return np.where(o < 128, _LOW[np.minimum(o, 127)], 38 + o % 25).astype(np.int32)
 
 
 def subsequences(us: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
