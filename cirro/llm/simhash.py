@@ -20,12 +20,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cirro.llm.common import lower_ascii, materialize, words
+from cirro.llm.common import fresh, lower_ascii, materialize, words
 from cirro.llm.components import connected_components
 
 TILE = 1024
 SEEDS = (42, 43, 44, 45)
 MOST_PARTITIONS = 20_000  # tasks beyond share partitions, one after the other
+MARKS = 1 << 21  # a table of marks has so many rows at most, some 80 MB where it is broadcast
 
 
 def fingerprint(text: str | None, shingle: int = 4, width: int = 1) -> tuple[list[int], int]:
@@ -250,6 +251,21 @@ def _hashes(text: Column) -> tuple[Column, Column]:
     return F.xxhash64(text), F.xxhash64(F.lit(7), text)
 
 
+def _marks(t0: Column) -> Column:
+    return F.pmod(t0, F.lit(MARKS)).cast("long")
+
+
+def _maybe(df: DataFrame, t0: Column, keys: DataFrame, key: str, how: str) -> DataFrame:
+    """The rows of df (left_semi) whose text's hash t0 has a mark that some key has too, or the others (left_anti).
+
+    Rows of a key are all among the former, so texts of the others needn't be shuffled to a join with keys. The broadcast has MARKS rows
+    at most, however many keys there are: with very many of them more rows are taken for possible ones, and none is lost.
+    """
+    mark = fresh(df.columns, "_mark")
+    marks = F.broadcast(keys.select(_marks(F.col(key)).alias(mark)).distinct())
+    return df.join(marks, _marks(t0) == marks[mark], how)
+
+
 def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = docs[text_col].cast("string")
     t0, t1 = _hashes(text)
@@ -299,7 +315,7 @@ def keep_one(docs: DataFrame, similarity: float, shingle: int = 5, width: int =
     told = materialize(told.select(F.col("doc_id").alias("g_id"), F.col("t0").alias("g_t0"), F.col("t1").alias("g_t1"), "stays"), "other-rows")
     t0, t1 = _hashes(docs[text_col].cast("string"))
     same = lambda df: docs[id_col].cast("long").eqNullSafe(df["g_id"]) & (t0 == df["g_t0"]) & (t1 == df["g_t1"])
-    out = docs.join(told, same(told), "left_anti")
+    out = _maybe(docs, t0, told, "g_t0", "left_semi").join(told, same(told), "left_anti").unionAll(_maybe(docs, t0, told, "g_t0", "left_anti"))
     again = told.where("stays")  # rows that are there more than once
     if again.isEmpty():
         return out
@@ -321,7 +337,7 @@ def _verified(own: DataFrame, reps: DataFrame, groups: DataFrame, ws: list[str],
     held = found.join(sizes, "component").withColumn("part", F.when(F.col("parts") > 1, F.pmod("s0", F.col("parts"))).otherwise(0))
     keys = found.select("h_id", "h_t0", "h_t1")
     is_holder = own["doc_id"].eqNullSafe(keys["h_id"]) & (own["t0"] == keys["h_t0"]) & (own["t1"] == keys["h_t1"])
-    texts = own.join(keys, is_holder, "left_semi").groupBy("doc_id", "t0", "t1").agg(F.first("text").alias("text"))  # rows alike count once
+    texts = _maybe(own, own["t0"], keys, "h_t0", "left_semi").join(keys, is_holder, "left_semi").groupBy("doc_id", "t0", "t1").agg(F.first("text").alias("text"))  # rows alike count once
     sets = _sets(texts, shingle, len(ws), True).withColumnsRenamed({"s0": "r_s0", "s1": "r_s1"}).drop("doc_id", "t0", "t1")
     held = held.join(sets, (held["s0"] == sets["r_s0"]) & (held["s1"] == sets["r_s1"]))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))

@@ -20,6 +20,16 @@ def test_repeated_rows_keep_one_whatever_their_other_columns(spark):
     assert out.columns == df.columns and [tuple(r) for r in out.collect()] == [(8, Q, "w", 2)]
 
 
+def test_marks_lose_no_row_however_few_there_are(spark, monkeypatch):
+    docs = [(1, A), (5, A), (5, B), (6, B + " x"), (None, A), (8, Q), (8, Q), (None, None), (9, ""), (10, "of its own")]
+    df = spark.createDataFrame([(i, t, "o") for i, t in docs], SCHEMA + ", _mark string")
+    for most in (1, 2, 1 << 21):
+        monkeypatch.setattr(simhash, "MARKS", most)
+        out = simhash.keep_one(df, 0.8)
+        assert out.columns == df.columns
+        assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == sorted([(1, A), (5, B), (8, Q), (9, ""), (10, "of its own")])
+
+
 def test_a_row_without_id_is_a_bridge(spark, monkeypatch):
     """Fingerprints 0, 15 and 255: the first and the last meet only through the row in the middle, which has no id."""
     prints = {"zero": 0, "four": 0x0F, "eight": 0xFF, "far": (1 << 63) | (0x7FFF << 20)}
