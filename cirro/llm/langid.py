@@ -16,7 +16,6 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import regex
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -309,17 +308,6 @@ class Scorer:
         return out
 
 
-_SCORERS: dict[int, Scorer] = {}
-
-
-def _scorer(shared: Broadcast) -> Scorer:
-    model = shared.value
-    if id(model) not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[id(model)] = Scorer(model)
-    return _SCORERS[id(model)]
-
-
 def predict(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """docs with the predicted language and its posterior probability among the learnt languages and none of them.
 
@@ -333,7 +321,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[
 
     @F.pandas_udf("lang string, score double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        scorer = _scorer(shared)
+        scorer = Scorer(shared.value)  # goes with the task: a worker that later stages use shouldn't hold its words
         for batch in batches:
             texts = [t if isinstance(t, str) else None for t in batch]
             rows = [r for at in range(0, len(texts), 256) for r in scorer.batch(texts[at : at + 256])]
