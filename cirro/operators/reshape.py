@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cirro.schema import OBS
@@ -33,8 +33,9 @@ def widen_forecast(fc: DataFrame, variables: list[str], key: tuple[str, ...] = (
 
 def latest_issuance(fc: DataFrame, by: tuple[str, ...] = ("site_id", "source", "model")) -> DataFrame:
     """Rows of the newest issue time of each source and model; a null model is one of its own."""
-    w = Window.partitionBy(*by)
-    return fc.withColumn("_newest", F.max("issue_time").over(w)).where("issue_time = _newest").drop("_newest")
+    newest = fc.groupBy(*[F.col(c).alias(f"_n_{c}") for c in by]).agg(F.max("issue_time").alias("_newest"))  # a row for each source and model
+    same = [F.col(c).eqNullSafe(F.col(f"_n_{c}")) for c in by]
+    return fc.join(newest, [*same, F.col("issue_time") == F.col("_newest")], "left_semi")
 
 
 def newest_per_key(df: DataFrame, key: tuple[str, ...], order: list[Column]) -> DataFrame:

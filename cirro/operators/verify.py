@@ -146,9 +146,10 @@ def rolling_origin_offset(pairs: DataFrame, by: tuple[str, ...], step_days: int
     """Rolling-origin scores of a constant offset: by, mae, rmse, n_scored. Origins are every step from the first valid time; an origin learns from
     what lies a buffer before it and is scored on its step. Sums by day, cumulated, give every origin's fit in one pass.
     """
-    w = Window.partitionBy(*by)
     day = F.floor(hours("valid_time") / 24)
-    d = pairs.where("forecast is not null and observation is not null").withColumn("_day", day).withColumn("_first", F.min("_day").over(w))
+    d = pairs.where("forecast is not null and observation is not null").withColumn("_day", day)
+    # a row for each key; pairs needn't be sorted or gathered for it
+    d = d.join(d.groupBy(*by).agg(F.min("_day").alias("_first")), list(by))
     d = d.withColumn("_origin", F.col("_first") + F.floor((F.col("_day") - F.col("_first")) / step_days) * step_days)
     sums = d.groupBy(*by, "_day").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("observation") - F.col("forecast")).alias("s"))
     origins = d.select(*by, "_origin").distinct()
