@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from cirro.llm.common import materialize
 
 DIMS, BITS = 3, 8
-#: As many different names are ranked; the ranks are broadcast. Where there are more, their first byte is their cell.
+#: As many different names a task ranks; more go to more tasks. Ranks don't depend on it.
 MOST_NAMES = 65_536
 
 
@@ -50,18 +50,33 @@ def hilbert_index(coords: list[Column], bits: int = BITS) -> Column:
     return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1)), start, step)["h"]
 
 
+def _ranked(rows: DataFrame, order: list[str], parts: int, name: str) -> DataFrame:
+    """rows with rank (exact, from 0) in that order and total (how many there are), ranked in `parts` tasks; written once."""
+    run = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    run = run.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    run = materialize(run, name)
+    # a row for each of the `parts` partitions
+    counts = run.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.withColumn("base", F.sum("n").over(Window.orderBy("part")) - F.col("n")).withColumn("total", F.sum("n").over(Window.partitionBy(F.lit(0)))).select("part", "base", "total")
+    return run.join(F.broadcast(before), "part").withColumn("rank", F.col("base") + F.col("at")).drop("part", "base", "at")
+
+
 def _with_cell(docs: DataFrame, name: str, cell: str) -> DataFrame:
-    """docs with cell: 0 for null, else 1 to 2^BITS - 1 in the order of the column's values, evenly spread."""
+    """docs with cell: 0 for null, else 1 to 2^BITS - 1 in the order of the column's values, evenly spread.
+
+    All different values are ranked, however many there are; a value's cell is found by halves among the first values of the cells.
+    """
     side = (1 << BITS) - 1
     value = docs[name].cast("string")
     known = materialize(docs.select(value.alias("n_name")).where("n_name is not null").distinct(), "names")
-    n = known.count()
-    if n > MOST_NAMES:
-        first = F.conv(F.hex(F.substring(value.cast("binary"), 1, 1)), 16, 10).cast("int")
-        return docs.withColumn(cell, F.when(value.isNull(), 0).otherwise(1 + F.least(F.coalesce(first, F.lit(0)), F.lit(side - 1))))
-    rank = F.row_number().over(Window.orderBy("n_name")) - 1  # at most MOST_NAMES rows
-    ranks = known.select("n_name", (1 + F.floor(rank * side / max(n, 1))).cast("int").alias("n_cell"))
-    return docs.join(F.broadcast(ranks), value == ranks["n_name"], "left").withColumn(cell, F.coalesce("n_cell", F.lit(0))).select(*docs.columns, cell)
+    parts = min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + known.count() // MOST_NAMES)
+    ranked = _ranked(known, ["n_name"], parts, "name-runs").select("n_name", F.expr(f"1 + rank * {side} div total").cast("int").alias("n_cell"))
+    firsts = ranked.groupBy("n_cell").agg(F.min("n_name").alias("n_name"))
+    # one row, arrays of at most `side` elements
+    firsts = firsts.agg(F.sort_array(F.collect_list(F.struct("n_cell", "n_name"))).alias("n_firsts")).select(F.col("n_firsts.n_cell").alias("n_cells"), F.col("n_firsts.n_name").alias("n_names"))
+    reach = lambda upto, step: upto + F.when(F.get("n_names", upto + step - 1) <= value, step).otherwise(0)
+    upto = F.aggregate(F.array(*[F.lit(1 << b) for b in reversed(range(BITS))]), F.lit(0), reach)
+    return docs.crossJoin(F.broadcast(firsts)).withColumn(cell, F.when(value.isNull(), 0).otherwise(F.get("n_cells", upto - 1))).select(*docs.columns, cell)
 
 
 def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", dims: tuple[str, str] = ("lang", "source")) -> DataFrame:
@@ -86,12 +101,6 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
     keyed = keyed.select("doc_id", "size", "text_crc32", hilbert_index([F.col("cell0"), F.col("cell1"), log]).alias("curve"))
     order = ["curve", "text_crc32", "doc_id", "size"]
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    run = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    run = run.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    run = materialize(run, "curve-runs")
-    # a row for each of the `parts` partitions
-    counts = run.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.withColumn("base", F.sum("n").over(Window.orderBy("part")) - F.col("n")).withColumn("total", F.sum("n").over(Window.partitionBy(F.lit(0)))).select("part", "base", "total")
-    rank = F.col("base") + F.col("at")
-    placed = run.join(F.broadcast(before), "part").withColumn("shard", F.expr(f"(base + at) * {shards} div total")).withColumn("slot", rank - F.expr(f"(shard * total + {shards - 1}) div {shards}"))
+    run = _ranked(keyed, order, parts, "curve-runs")
+    placed = run.withColumn("shard", F.expr(f"rank * {shards} div total")).withColumn("slot", F.col("rank") - F.expr(f"(shard * total + {shards - 1}) div {shards}"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")

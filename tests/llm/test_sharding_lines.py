@@ -123,3 +123,17 @@ def test_many_names_go_by_their_first_byte(spark, monkeypatch):
     df = spark.createDataFrame([(i, "t", c, None) for i, c in enumerate(["zz", "", None, "aa", "é", "b"])], "doc_id long, text string, lang string, source string")
     curve = {r["doc_id"]: r["curve"] for r in sharding.shard(df).collect()}
     assert len(curve) == 6 and len(set(curve.values())) == 6
+
+
+def test_cells_are_ranks_for_any_number_of_names(spark, monkeypatch):
+    """Names of one first byte, ranked by one task and by several: the same cells, evenly spread in the order of the names."""
+    names = [f"https://example.org/{k * 7919 % 1000:04d}" for k in range(1000)] + ["https://é", "https://😀", "", "https://￿"]
+    place = {c: k for k, c in enumerate(sorted(names))}
+    want = {c: 1 + place[c] * 255 // len(names) for c in names} | {None: 0}
+    df = spark.createDataFrame([(i, "t" * (i % 50), "en", c) for i, c in enumerate(names * 2 + [None])], "doc_id long, text string, lang string, source string")
+    found = []
+    for most in (sharding.MOST_NAMES, 1003, 150):
+        monkeypatch.setattr(sharding, "MOST_NAMES", most)
+        assert {(r["source"], r["cell"]) for r in sharding._with_cell(df, "source", "cell").collect()} == set(want.items())
+        found.append(sorted(map(tuple, sharding.shard(df).drop("grown_shard").collect())))
+    assert len(found[0]) == 2 * len(names) + 1 and found[0] == found[1] == found[2]
