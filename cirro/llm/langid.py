@@ -15,11 +15,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cirro.llm.common import fresh, learn_part
+from cirro.llm.common import fresh, give_back, learn_part
 
 UNDETERMINED = "und"
 _WORDS = regex.compile(r"\p{L}+").findall
@@ -261,18 +262,22 @@ def train(docs: DataFrame, pieces: list[str], docs_per_lang: int = 400, id_col:
 
 
 class Scorer:
-    """Language and score of texts; keeps the log likelihoods of up to `cache_size` units."""
+    """Language and score of texts; keeps the log likelihoods of up to `cache_size` units, and when these are full, of those that the texts at hand have."""
 
-    def __init__(self, model: Model, cache_size: int = 400_000):
+    def __init__(self, model: Model, cache_size: int = 160_000):
         self.model, self.cache_size = model, cache_size
         self.cache: dict[str, int] = {}
         self.rows = np.zeros((0, model.prob.shape[1]))
 
+    def _forget(self, but: set[str]) -> None:
+        """Keeps `but` alone."""
+        kept = list(but)
+        self.rows = self.rows[[self.cache[u] for u in kept]]
+        self.cache = dict(zip(kept, range(len(kept)), strict=True))
+
     def _learn(self, new: list[str]) -> None:
-        if len(self.cache) + len(new) > self.cache_size:
-            self.cache.clear()
         if len(self.rows) < len(self.cache) + len(new):
-            more = np.zeros((max(2 * len(self.rows), len(self.cache) + len(new)), self.rows.shape[1]))
+            more = np.zeros((max(min(2 * len(self.rows), self.cache_size), len(self.cache) + len(new)), self.rows.shape[1]))
             more[: len(self.rows)] = self.rows
             self.rows = more
         start = len(self.cache)
@@ -288,7 +293,8 @@ class Scorer:
         every.difference_update(long)
         new = every.difference(cache)
         if len(cache) + len(new) > self.cache_size:
-            new = every
+            self._forget(every.difference(new))
+            cache = self.cache
         if new:
             self._learn(list(new))
         apart = dict(zip(long, self.model.log_likelihood(long), strict=True))
@@ -319,13 +325,15 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang string, score double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang string, score double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(shared.value)  # goes with the task: a worker that later stages use shouldn't hold its words
         for batch in batches:
-            texts = [t if isinstance(t, str) else None for t in batch]
-            rows = [r for at in range(0, len(texts), 256) for r in scorer.batch(texts[at : at + 256])]
-            yield pd.DataFrame(rows, columns=["lang", "score"]).astype({"score": "float64"})
+            rows = [r for at in range(0, len(batch), 256) for r in scorer.batch(batch.slice(at, 256).to_pylist())]
+            yield pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64())], ["lang", "score"])
+            del batch, rows
+        del scorer
+        give_back()
 
     got = fresh(docs.columns, "_language")
     a, b = fresh(docs.columns, names[0]), fresh(docs.columns, names[1])

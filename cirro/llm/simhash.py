@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cirro.llm.common import fresh, lower_ascii, materialize, words
+from cirro.llm.common import fresh, give_back, lower_ascii, materialize, words
 from cirro.llm.components import connected_components
 
 TILE = 1024
@@ -240,6 +240,8 @@ def _sets(docs: DataFrame, shingle: int, width: int, grams: bool) -> DataFrame:
                 rows.append((*digest, held) if grams else (*np.array(got, dtype=np.uint64).view(np.int64).tolist(), len(hashes), *digest))
             out = pd.DataFrame(rows, columns=columns[3:])
             yield out.assign(doc_id=batch["doc_id"].astype("Int64").to_numpy(), t0=batch["t0"].to_numpy(), t1=batch["t1"].to_numpy())[columns].astype({"doc_id": "Int64"})
+            del batch, rows, out
+        give_back()
 
     schema = "doc_id long, t0 long, t1 long, " + ("s0 long, s1 long, grams binary" if grams else ", ".join(f"{c} long" for c in names) + ", n_shingles long, s0 long, s1 long")
     columns = [c.split()[0] for c in schema.split(", ")]
